@@ -9,15 +9,24 @@ ROWS_PER_SALT = 1_000_000
 
 
 def lookup_join(
-    left: DataFrame, right: DataFrame, key: str, row_key: str, how: str = "inner", rows_per_salt: int = ROWS_PER_SALT
+    left: DataFrame,
+    right: DataFrame,
+    key: str,
+    row_key: str,
+    how: str = "inner",
+    rows_per_salt: int = ROWS_PER_SALT,
+    left_rows: int | None = None,
 ) -> DataFrame:
     """``left`` joined with ``right``, which has at most one row per ``key``.
 
     Keys are counted first, combined before the shuffle. One with more than
     ``rows_per_salt`` rows is split over as many salts as it needs, and its single right
     row is repeated for each; all other keys stay as they are. There is at most one such
-    key per ``rows_per_salt`` rows of the left side, which bounds what is broadcast.
+    key per ``rows_per_salt`` rows of the left side, which bounds what is broadcast, and
+    none at all if ``left_rows``, the known size of the left side, is no more than that.
     """
+    if left_rows is not None and left_rows <= rows_per_salt:
+        return left.join(right, key, how)
     hot = (
         left.groupBy(key).count().filter((F.col("count") > rows_per_salt) & F.col(key).isNotNull())
         .select(key, F.ceil(F.col("count") / rows_per_salt).cast("int").alias("_salts"))

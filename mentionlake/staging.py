@@ -11,7 +11,8 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 _own_folders: dict[str, str] = {}
 
@@ -46,6 +47,21 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def stage_counted(
+    df: DataFrame, name: str, what: Column | None = None, path: str | None = None
+) -> tuple[DataFrame, int]:
+    """As ``stage``, with the number of rows (of non-null ``what``) seen while writing.
+
+    A stage computed again after a lost executor may be counted twice: the number is for
+    telling none from some, and for sizing.
+    """
+    seen = Observation()
+    path = path or new_path(df.sparkSession, name)
+    counted = F.count(F.lit(1) if what is None else what).alias("n")
+    df.observe(seen, counted).write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), seen.get.get("n", 0)
+
+
 def release(spark: SparkSession) -> None:
     """Delete what this application staged; call it when its results are written."""
     jvm = spark.sparkContext._jvm
