@@ -18,5 +18,5 @@ def read_table(spark: SparkSession, folder: str, name: str, *columns: str) -> Da
     table = spark.read.parquet(f"{folder}/{name}.parquet")
     table = table.select(*columns) if columns else table
     cores = spark.sparkContext.defaultParallelism
-    size = table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().longValue()
+    size = int(str(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return table.repartition(cores) if cores > 1 and size < cores * _SMALL_PER_CORE else table
