@@ -45,6 +45,9 @@ KEYWORDS = {
     "es": ["de la", "ción"],
 }
 EXCLUSIONS = {"en": ["token ="], "de": ["MIT License"], "fr": ["license"], "es": []}
+# Found through lemmas, mostly, and kept out by one.
+LEMMA_KEYWORDS = ["eringing", "thblees", "der eingtion", "ión de", "eauer"]
+LEMMA_EXCLUSIONS = ["thedones"]
 PARAMS = Params(similarity_threshold=0.35)
 SUFFIX = "(tion|ing|ed|es|er|en)$"
 WINDOW, SPIKE, COOLDOWN = 3600, 5, 6 * 3600
@@ -191,7 +194,10 @@ def prefilter_no_keywords(spark, sf):
 
 
 def prefilter_lemma(spark, sf):
-    return prefilter(posts(spark, sf), dictionary(spark, sf)).select("post_id", "projectId")
+    p = posts(spark, sf).withColumns({
+        "keywords": F.array(*map(F.lit, LEMMA_KEYWORDS)), "exclusions": F.array(*map(F.lit, LEMMA_EXCLUSIONS)),
+    })
+    return prefilter(p, dictionary(spark, sf)).select("post_id", "projectId")
 
 
 def lemmatize_text(spark, sf):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from mentionlake.functions.ids import URL_NAMESPACE
 from mentionlake.functions.tone import TONE_SCORES, TONE_TITLES
 from mentionlake.plans.catalog import (
-    BATCH, COOLDOWN, EXCLUSIONS, KEYWORDS, PARAMS, SPIKE, SUFFIX, WINDOW,
+    BATCH, COOLDOWN, EXCLUSIONS, KEYWORDS, LEMMA_EXCLUSIONS, LEMMA_KEYWORDS, PARAMS, SPIKE, SUFFIX, WINDOW,
 )
 
 _WS = (
@@ -234,15 +234,15 @@ _table("lemma_texts", """
     SELECT p.post_id, p.seq, coalesce(t.lemmas, '') AS lemmas, coalesce(t.list, []) AS list
     FROM posts p LEFT JOIN (SELECT seq, string_agg(lemma, ' ' ORDER BY pos) AS lemmas, list(lemma) AS list
                             FROM lemma_tokens GROUP BY seq) t ON t.seq = p.seq""", "posts", "lemma_tokens")
-_table("term_lemmas", """
+_table("term_lemmas", f"""
     SELECT w.term, coalesce(l.lemma, w.term) AS lemma
-    FROM (SELECT DISTINCT lower(unnest(list_concat(keywords, exclusions))) AS term FROM posts) w
-    LEFT JOIN lemmas l ON l.token = w.term""", "posts", "lemmas")
-_table("lemma_hits", """
+    FROM (SELECT lower(unnest({_list(LEMMA_KEYWORDS + LEMMA_EXCLUSIONS)})) AS term) w
+    LEFT JOIN lemmas l ON l.token = w.term""", "lemmas")
+_table("lemma_hits", f"""
     SELECT p.seq,
-        (SELECT count(*) FROM (SELECT unnest(p.exclusions) AS e) x JOIN term_lemmas t ON t.term = lower(x.e)
+        (SELECT count(*) FROM (SELECT unnest({_list(LEMMA_EXCLUSIONS)}) AS e) x JOIN term_lemmas t ON t.term = lower(x.e)
          WHERE list_contains(s.list, t.lemma) OR contains(lower(p.content), t.term)) AS excluded,
-        (SELECT count(*) FROM (SELECT unnest(p.keywords) AS k) x JOIN term_lemmas t ON t.term = lower(x.k)
+        (SELECT count(*) FROM (SELECT unnest({_list(LEMMA_KEYWORDS)}) AS k) x JOIN term_lemmas t ON t.term = lower(x.k)
          WHERE contains(s.lemmas, t.term) OR contains(s.lemmas, t.lemma) OR contains(lower(p.content), t.term)) AS wanted
     FROM posts p JOIN lemma_texts s ON s.seq = p.seq""", "posts", "lemma_texts", "term_lemmas")
 
@@ -328,7 +328,7 @@ ORACLE: dict[str, str] = {
         WHERE len(list_filter(exclusions, lambda e: contains(lower(content), lower(e)))) = 0""",
     "prefilter_lemma": _with("lemma_hits") + """
         SELECT p.post_id, p."projectId" FROM posts p JOIN lemma_hits h ON h.seq = p.seq
-        WHERE h.excluded = 0 AND (len(p.keywords) = 0 OR h.wanted > 0)""",
+        WHERE h.excluded = 0 AND h.wanted > 0""",
     "lemmatize_text": _with("lemma_texts") + "SELECT post_id, lemmas FROM lemma_texts",
     "lemmatize_keyword": _with("lemmas") + f"""
         SELECT w.term, coalesce(l.lemma, lower(w.term)) AS lemma

@@ -13,6 +13,8 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.showConsoleProgress": "false",
+    # recording the call site of every column expression takes longer than small queries
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
