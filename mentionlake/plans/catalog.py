@@ -269,7 +269,8 @@ def point_id(spark, sf):
 
 def hashed_embedding(spark, sf):
     embedded = embed(posts(spark, sf), HashedEmbedder(PARAMS.dim))
-    cells = embedded.select("post_id", F.posexplode("embedding").alias("cell", "value")).filter(F.col("value") != 0)
+    # the outer form, as the inner one would run the embedding once more to look for empty arrays
+    cells = embedded.select("post_id", F.posexplode_outer("embedding").alias("cell", "value")).filter(F.col("value") != 0)
     return cells.select("post_id", "cell", F.round(F.col("value").cast("double"), 6).alias("value"))
 
 
