@@ -15,22 +15,28 @@ def window_counts(posts: DataFrame, window_seconds: int, ts: str = "ts", project
     return counted.select(project, F.col("w.start").alias("window_start"), "n")
 
 
-def cool_down(spikes: DataFrame, cooldown_seconds: int, project: str = "projectId") -> DataFrame:
+def cool_down(
+    spikes: DataFrame, cooldown_seconds: int, project: str = "projectId", last: DataFrame | None = None
+) -> DataFrame:
     """Drop spikes less than the cool-down after the last alert of their project.
 
-    A project has one row per window at most, so a group grows with the time covered,
-    not with the posts.
+    ``last``: (project, window_start) of alerts fired before. A project has one row per
+    window at most, so a group grows with the time covered, not with the posts.
     """
+    rows = spikes.withColumn("_fired", F.lit(False))
+    if last is not None:
+        rows = rows.unionByName(last.withColumn("_fired", F.lit(True)), allowMissingColumns=True)
+
     def choose(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("window_start")
-        picked, last = [], None
-        for at in group["window_start"]:
-            fire = last is None or (at - last).total_seconds() >= cooldown_seconds
-            picked.append(fire)
-            last = at if fire else last
-        return group[picked]
-
-    return spikes.groupBy(project).applyInPandas(choose, spikes.schema)
+        picked, before = [], None
+        for at, fired in zip(group["window_start"], group["_fired"]):
+            fire = before is None or (at - before).total_seconds() >= cooldown_seconds
+            picked.append(fire and not fired)
+            before = at if fire or fired else before
+        return group[picked].drop(columns="_fired")
+
+    return rows.groupBy(project).applyInPandas(choose, spikes.schema)
 
 
 def spike_alerts(

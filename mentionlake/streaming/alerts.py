@@ -2,54 +2,37 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-from mentionlake.operators.alerts import window_counts
+from pyspark.sql.streaming import StreamingQuery
 
+from mentionlake.operators.alerts import cool_down, window_counts
+from mentionlake.streaming.state import BatchTable
 
-def stream_window_counts(
-    posts: DataFrame, window_seconds: int, watermark: str, ts: str = "ts", project: str = "projectId"
-) -> DataFrame:
-    """Closed windows only, once the watermark has passed them."""
-    return window_counts(posts.withWatermark(ts, watermark), window_seconds, ts, project)
 
+class StreamingAlerts:
+    """Counts posts per window as the watermark closes it, and fires alerts.
 
-def stream_cool_down(
-    spikes: DataFrame, cooldown_seconds: int, project: str = "projectId", project_type: str = "string"
-) -> DataFrame:
-    """Alerts of a stream of spikes (project, window_start, n).
-
-    The state of a project is the time of its last alert.
+    Alerts are kept per micro-batch below ``folder``; the last one of each project is all
+    the cool-down needs to know of earlier batches.
     """
-    def choose(
-        key: tuple, parts: Iterator[pd.DataFrame], state: GroupState
-    ) -> Iterator[pd.DataFrame]:
-        last = state.get[0] if state.exists else None
-        group = pd.concat(list(parts)).sort_values("window_start")
-        fired = []
-        for at, n in zip(group["window_start"], group["n"]):
-            micros = at.value // 1000
-            if last is None or micros - last >= cooldown_seconds * 1_000_000:
-                fired.append((key[0], at, n))
-                last = micros
-        if last is not None:
-            state.update((last,))
-        yield pd.DataFrame(fired, columns=[project, "window_start", "n"])
-
-    return spikes.groupBy(project).applyInPandasWithState(
-        choose, f"{project} {project_type}, window_start timestamp, n bigint", "last bigint", "append",
-        GroupStateTimeout.NoTimeout,
-    )
-
-
-def stream_spike_alerts(
-    posts: DataFrame, window_seconds: int, threshold: int, cooldown_seconds: int, watermark: str,
-    ts: str = "ts", project: str = "projectId",
-) -> DataFrame:
-    counts = stream_window_counts(posts, window_seconds, watermark, ts, project)
-    return stream_cool_down(counts.filter(F.col("n") >= threshold), cooldown_seconds, project)
+
+    def __init__(self, spark: SparkSession, folder: str, window_seconds: int, threshold: int, cooldown_seconds: int):
+        self.window_seconds, self.threshold, self.cooldown_seconds = window_seconds, threshold, cooldown_seconds
+        self.alerts = BatchTable(spark, f"{folder.rstrip('/')}/alerts", "projectId string, window_start timestamp, n bigint")
+
+    def process(self, counts: DataFrame, batch: int) -> None:
+        spikes = counts.filter(F.col("n") >= self.threshold).select("projectId", "window_start", "n")
+        last = None
+        if not self.alerts.empty(batch):
+            last = self.alerts.read(batch).groupBy("projectId").agg(F.max("window_start").alias("window_start"))
+        self.alerts.write(cool_down(spikes, self.cooldown_seconds, last=last), batch)
+
+    def start(self, posts: DataFrame, watermark: str, checkpoint: str, **trigger) -> StreamingQuery:
+        """``posts``: a streaming frame with projectId and ts."""
+        counts = window_counts(posts.withWatermark("ts", watermark), self.window_seconds)
+        writer = counts.writeStream.outputMode("append").foreachBatch(lambda rows, n: self.process(rows, n))
+        return writer.option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+
+    def read_alerts(self) -> DataFrame:
+        return self.alerts.read(1 << 62).drop("batch")
