@@ -85,7 +85,9 @@ def vectors(spark: SparkSession, sf: str) -> DataFrame:
 
 def events(spark: SparkSession, sf: str) -> DataFrame:
     table = read_table(spark, sf, "events", "event_id", "ts", "user_id", "event_type", "value")
-    return table.withColumn("ts", F.col("ts").cast("timestamp"))
+    # the stored times have no zone; they are taken as UTC whatever the session's zone is
+    micros = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col("ts").cast("timestamp_ntz"))
+    return table.withColumn("ts", F.timestamp_micros(micros))
 
 
 def dictionary(spark: SparkSession, sf: str) -> DataFrame:
@@ -255,7 +257,7 @@ def bucket_ttl(spark, sf):
         (F.col("user_id") % 4).cast("int").alias("bucket_idx"), F.col("user_id").alias("fragment"),
         F.col("event_id").alias("fp"), F.col("ts").alias("added_at"),
     )
-    now = F.to_timestamp(F.lit("2024-01-31 00:00:00"))
+    now = F.timestamp_seconds(F.lit(1706659200))  # 2024-01-31
     return visible_members(adds, now, PARAMS.ttl_seconds, ("bucket_idx", "fragment")).select(
         "fragment", "fp", bucket_key(F.col("bucket_idx"), F.col("fragment")).alias("bucket")
     )
