@@ -52,6 +52,22 @@ def byte_letters() -> list[str]:
     return letters
 
 
+# Letters and numbers of the regex module's Unicode that the tokenizers
+# library, built on an earlier one, takes for other signs. First and last code points.
+NEWER = """
+558-558 58b-58c 88f-88f c5c-c5c cdc-cdc 208f-208f 209d-209f a7ce-a7cf a7d2-a7d2 a7d4-a7d4 a7dd-a7dd a7e2-a7e2
+a7f1-a7f1 ab6c-ab6d 107bb-107bf 10940-10959 10ec5-10ec7 10ed9-10eee 11b0a-11b0a 11db0-11ddb 11de0-11de9 11df1-11df1
+1246f-1246f 12475-1247f 12550-12686 16ea0-16eb8 16ebb-16ed3 16ff2-16ff6 187f8-187ff 18cd6-18cda 18d09-18d20
+18d80-18df2 18e00-19191 191a0-191d2 1b123-1b128 1b168-1b168 1d6a6-1d6a6 1df1f-1df24 1df2b-1df81 1df90-1df96
+1dfcd-1dfff 1e6c0-1e6de 1e6e0-1e6e2 1e6e4-1e6e5 1e6e7-1e6ed 1e6f0-1e6f4 1e6fe-1e6ff 2b73a-2b73f 2b81e-2b81e
+2cea2-2cead 323b0-33479 3d000-3fc3f
+"""
+
+
+def newer_signs() -> list[tuple[str, str]]:
+    return [tuple(chr(int(x, 16)) for x in r.split("-")) for r in NEWER.split()]
+
+
 @dataclass(frozen=True)
 class Vocabulary:
     """Arrays of a tokenizer file; ids of single bytes, inside a word and at its end."""
@@ -64,7 +80,7 @@ class Vocabulary:
     ranks: np.ndarray
     merged: np.ndarray
     cut: str
-    suffix: str
+    newer: list[tuple[str, str]]
 
     @classmethod
     def read(cls, path: str) -> "Vocabulary":
@@ -87,7 +103,7 @@ class Vocabulary:
         return cls(
             tokens, special,
             np.array([vocab.get(x, -1) for x in letters]), np.array([vocab.get(x + suffix, -1) for x in letters]),
-            keys[order], order, merged[order], cut, suffix,
+            keys[order], order, merged[order], cut, newer_signs(),
         )
 
 
@@ -147,6 +163,10 @@ class Encoder:
     def __init__(self, v: Vocabulary):
         self.v = v
         self.cut = regex.compile(v.cut)
+        ranges = "".join(f"{a}-{b}" for a, b in v.newer)
+        self.newer = {chr(c) for a, b in v.newer for c in range(ord(a), ord(b) + 1)}
+        older = v.cut.replace(r"\p{L}", f"[\\p{{L}}--[{ranges}]]").replace(r"\p{N}", f"[\\p{{N}}--[{ranges}]]")
+        self.older_cut = regex.compile(older, regex.V1)
         self.space = regex.compile(r"\s+")
         self.marks = regex.compile("|".join(map(regex.escape, v.special)))
         self.known: dict[str, np.ndarray] = {}
@@ -165,7 +185,9 @@ class Encoder:
         text = self.space.sub(" ", unicodedata.normalize("NFC", text))
         # letter by letter, as a final sigma is no exception here
         text = text.lower() if text.isascii() or "Σ" not in text else "".join(map(str.lower, text))
-        return self.cut.findall(text)
+        if text.isascii() or self.newer.isdisjoint(text):
+            return self.cut.findall(text)
+        return self.older_cut.findall(text)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         cut = [self.words(t or "") for t in texts]
