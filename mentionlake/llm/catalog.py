@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from mentionlake.llm.bpe import op8_bpe
+from mentionlake.llm.decontaminate import op1_decontaminate
 from mentionlake.llm.pii import op9_pii
 from mentionlake.llm.quality import op10_quality_classifier
 
 QUERIES = {
+    "op1_decontaminate": op1_decontaminate,
     "op8_bpe": op8_bpe,
     "op9_pii": op9_pii,
     "op10_quality_classifier": op10_quality_classifier,
