@@ -7,8 +7,12 @@ read again as the documents of the next.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from mentionlake.llm.bpe import digests
+from mentionlake.llm.decontaminate import benchmark, without_leaks
+from mentionlake.llm.near import without_near_duplicates
+from mentionlake.llm.pii import redact
 from mentionlake.llm.quality import keep_good
 from mentionlake.llm.tables import held_out, labels_of
 from mentionlake.staging import stage
@@ -19,6 +23,22 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return keep_good(docs, labels_of(spark, sf_dir, "quality").filter(~held_out()))
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates stays."""
+    return without_near_duplicates(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which a benchmark item stands are taken out."""
+    return without_leaks(docs, benchmark(spark, sf_dir))
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data is replaced by its kind in brackets; n_chars follows the new text."""
+    clean = redact(docs)
+    return clean.withColumn("n_chars", F.length("text").cast(clean.schema["n_chars"].dataType)) if "n_chars" in docs.columns else clean
+
+
 def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Number and digest of the token ids of what is left, and of their decoded text."""
     return digests(docs)
@@ -26,6 +46,9 @@ def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("quality classifier", quality),
+    ("MinHash near-dedup", near_duplicates),
+    ("benchmark decontamination", decontamination),
+    ("PII", personal_data),
     ("BPE encoding and decoding", bpe),
 ]
 
