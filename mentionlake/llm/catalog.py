@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from mentionlake.llm.bpe import op8_bpe
 from mentionlake.llm.decontaminate import op1_decontaminate
+from mentionlake.llm.fingerprint import op7_fingerprints
 from mentionlake.llm.near import op3_near_duplicates
 from mentionlake.llm.pii import op9_pii
 from mentionlake.llm.quality import op10_quality_classifier
@@ -11,6 +12,7 @@ from mentionlake.llm.quality import op10_quality_classifier
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op3_near_duplicates": op3_near_duplicates,
+    "op7_fingerprints": op7_fingerprints,
     "op8_bpe": op8_bpe,
     "op9_pii": op9_pii,
     "op10_quality_classifier": op10_quality_classifier,
