@@ -8,11 +8,13 @@ from mentionlake.llm.fingerprint import op7_fingerprints
 from mentionlake.llm.near import op3_near_duplicates
 from mentionlake.llm.pii import op9_pii
 from mentionlake.llm.quality import op10_quality_classifier
+from mentionlake.llm.secrets import op4_secrets
 from mentionlake.llm.toxicity import op6_toxicity
 
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op3_near_duplicates": op3_near_duplicates,
+    "op4_secrets": op4_secrets,
     "op6_toxicity": op6_toxicity,
     "op7_fingerprints": op7_fingerprints,
     "op8_bpe": op8_bpe,
