@@ -5,6 +5,7 @@ from __future__ import annotations
 from mentionlake.llm.bpe import op8_bpe
 from mentionlake.llm.decontaminate import op1_decontaminate
 from mentionlake.llm.fingerprint import op7_fingerprints
+from mentionlake.llm.licenses import op5_licenses
 from mentionlake.llm.near import op3_near_duplicates
 from mentionlake.llm.pii import op9_pii
 from mentionlake.llm.quality import op10_quality_classifier
@@ -15,6 +16,7 @@ QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op3_near_duplicates": op3_near_duplicates,
     "op4_secrets": op4_secrets,
+    "op5_licenses": op5_licenses,
     "op6_toxicity": op6_toxicity,
     "op7_fingerprints": op7_fingerprints,
     "op8_bpe": op8_bpe,
