@@ -10,10 +10,12 @@ from mentionlake.llm.near import op3_near_duplicates
 from mentionlake.llm.pii import op9_pii
 from mentionlake.llm.quality import op10_quality_classifier
 from mentionlake.llm.secrets import op4_secrets
+from mentionlake.llm.substring import op2_substring_dedup
 from mentionlake.llm.toxicity import op6_toxicity
 
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
+    "op2_substring_dedup": op2_substring_dedup,
     "op3_near_duplicates": op3_near_duplicates,
     "op4_secrets": op4_secrets,
     "op5_licenses": op5_licenses,
