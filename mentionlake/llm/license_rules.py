@@ -108,9 +108,9 @@ def rules() -> list[tuple[int, str, str, str]]:
     for label, keyword, name, versions in _VERSIONED:
         for version in versions:
             exact = f"{label}-{version.replace(' ', '.').removesuffix('.0')}"
-            out.append((3, exact, keyword, f"(?:{name})(?: licen[cs]e)?(?: version| v)? v?{version}(?! [0-9]\\b)"))
+            out.append((3, exact, keyword, f"(?:{_LEADS})?(?:{name})(?: licen[cs]e)?(?: version| v)? v?{version}(?! [0-9]\\b)"))
             if "gpl" in label:
-                out.append((3, f"{exact}-or-later", keyword, f"(?:{name})(?: licen[cs]e)?(?: version| v)? v?{version} or (?:any |at your option any )?later"))
+                out.append((3, f"{exact}-or-later", keyword, f"(?:{_LEADS})?(?:{name})(?: licen[cs]e)?(?: version| v)? v?{version} or (?:any |at your option any )?later"))
         out.append((2, label, keyword, f"{_LEADS}(?:{name}) licen[cs]e"))
         out.append((2, label, keyword, f"(?:{name}) licen[cs]e"))
     for label, keyword, name in _FAMILIES:
