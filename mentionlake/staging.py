@@ -11,8 +11,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import Column, DataFrame, SparkSession
 
 _own_folders: dict[str, str] = {}
 
@@ -50,16 +49,11 @@ def stage(df: DataFrame, name: str) -> DataFrame:
 def stage_counted(
     df: DataFrame, name: str, what: Column | None = None, path: str | None = None
 ) -> tuple[DataFrame, int]:
-    """As ``stage``, with the number of rows (of non-null ``what``) seen while writing.
-
-    A stage computed again after a lost executor may be counted twice: the number is for
-    telling none from some, and for sizing.
-    """
-    seen = Observation()
+    """As ``stage``, with the number of rows (of non-null ``what``) of the written table."""
     path = path or new_path(df.sparkSession, name)
-    counted = F.count(F.lit(1) if what is None else what).alias("n")
-    df.observe(seen, counted).write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path), seen.get.get("n", 0)
+    df.write.parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    return table, (table if what is None else table.filter(what.isNotNull())).count()
 
 
 def release(spark: SparkSession) -> None:
