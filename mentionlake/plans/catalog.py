@@ -74,6 +74,7 @@ def posts(spark: SparkSession, sf: str) -> DataFrame:
         F.lit("").alias("url_string"),
         F.col("doc_id").cast("double").alias("timestamp"),
         F.col("doc_id").alias("seq"),
+        F.col("doc_id").alias("arrival"),
     )
 
 
@@ -155,7 +156,8 @@ def batch_messages(spark, sf):
     good = accepted(check_batches(batches.select(F.to_json(body).alias("value")), F.timestamp_seconds(F.lit(0))))
     return good.select(
         "projectId", "title", "content", "type", "url_string", F.array_join("keywords", ",").alias("keywords"),
-        F.array_join("exclusions", ",").alias("exclusions"), F.col("seq").alias("pos"),
+        F.array_join("exclusions", ",").alias("exclusions"),
+        F.round(F.col("timestamp") * 1e6).cast("bigint").alias("pos"),
     )
 
 
@@ -233,11 +235,27 @@ def near_dup_pairs(spark, sf):
     nodes = stage(first_posts(_prints(spark, sf)), "first-posts")
     pairs = near_pairs(nodes.select("scope", "fp"))
     ends = nodes.select("fp", "post_id")
-    return ordered_edges(pairs, nodes).select(
+    near = ordered_edges(pairs, nodes).select(
         "early", "late", F.bit_count(F.col("early").bitwiseXOR(F.col("late"))).alias("distance")
     ).join(ends.select(F.col("fp").alias("early"), F.col("post_id").alias("early_post")), "early").join(
         ends.select(F.col("fp").alias("late"), F.col("post_id").alias("late_post")), "late"
     ).select("early_post", "late_post", "distance")
+    # equal fingerprints: one row per copy and its first post, not all pairs of copies
+    copies = _prints(spark, sf).join(ends.select(F.col("fp").alias("simhash"), F.col("post_id").alias("early_post")), "simhash")
+    copies = copies.filter("post_id <> early_post").select("early_post", F.col("post_id").alias("late_post"), F.lit(0).alias("distance"))
+    return near.unionByName(copies)
+
+
+def near_dup_pairs_wide(spark, sf):
+    """Above the thresholds that masks serve: pairs that share a band, at distance 8 at most."""
+    nodes = stage(first_posts(_prints(spark, sf)), "first-posts")
+    pairs = near_pairs(nodes.select("scope", "fp"), threshold=8)
+    ends = nodes.select("fp", "post_id")
+    return ordered_edges(pairs, nodes).join(
+        ends.select(F.col("fp").alias("early"), F.col("post_id").alias("early_post")), "early"
+    ).join(ends.select(F.col("fp").alias("late"), F.col("post_id").alias("late_post")), "late").select(
+        "early_post", "late_post", F.bit_count(F.col("early").bitwiseXOR(F.col("late"))).alias("distance")
+    )
 
 
 def dedup(spark, sf):
@@ -480,12 +498,16 @@ def health_query(spark, sf):
 # -- streaming ------------------------------------------------------------------------
 
 def streaming_results(spark, sf):
-    """The documents as a stream of JSON files, micro-batch after micro-batch."""
-    folder = new_path(spark, "stream")
-    lines = to_messages(posts(spark, sf).drop("seq"))
-    lines.repartition(2).write.text(f"{folder}/in")
+    """The documents as a stream of JSON files, in four micro-batches by ranges of ids."""
+    folder, batches = new_path(spark, "stream"), 4
+    source = posts(spark, sf)
+    last = source.agg(F.max("seq")).first()[0] or 0
+    files = spark.sparkContext.defaultParallelism
+    for k in range(batches):
+        part = source.filter(F.floor(F.col("seq") * batches / (last + 1)) == k).drop("seq", "arrival")
+        to_messages(part).repartition(files).write.mode("append").text(f"{folder}/in")
     stream = StreamingMonitor(spark, f"{folder}/state", PARAMS)
-    stream.start(stream_lines(spark, f"{folder}/in"), f"{folder}/checkpoint").awaitTermination()
+    stream.start(stream_lines(spark, f"{folder}/in", files), f"{folder}/checkpoint").awaitTermination()
     return stream.read_results().select("clusterId", "projectId", F.inline("posts")).select(
         "clusterId", "projectId", "title", "content", "type", "url_string", "metrics.relevancy", "metrics.tone"
     )
@@ -509,6 +531,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "simhash_buckets": simhash_buckets,
     "simhash_bucket_members": simhash_bucket_members,
     "near_dup_pairs": near_dup_pairs,
+    "near_dup_pairs_wide": near_dup_pairs_wide,
     "dedup": dedup,
     "dedup_scoped": dedup_scoped,
     "bucket_ttl": bucket_ttl,

