@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from mentionlake.staging import stage
+
 ROWS_PER_SALT = 1_000_000
 
 
@@ -21,20 +23,21 @@ def lookup_join(
 
     Keys are counted first, combined before the shuffle. One with more than
     ``rows_per_salt`` rows is split over as many salts as it needs, and its single right
-    row is repeated for each; all other keys stay as they are. There is at most one such
-    key per ``rows_per_salt`` rows of the left side, which bounds what is broadcast, and
-    none at all if ``left_rows``, the known size of the left side, is no more than that.
+    row is repeated for each; all other keys stay as they are. The hot keys are a written
+    table, so the planner joins them by their true size; there are none at all if
+    ``left_rows``, the known size of the left side, is no more than ``rows_per_salt``.
     """
     if left_rows is not None and left_rows <= rows_per_salt:
         return left.join(right, key, how)
-    hot = (
+    hot = stage(
         left.groupBy(key).count().filter((F.col("count") > rows_per_salt) & F.col(key).isNotNull())
-        .select(key, F.ceil(F.col("count") / rows_per_salt).cast("int").alias("_salts"))
+        .select(key, F.ceil(F.col("count") / rows_per_salt).cast("int").alias("_salts")),
+        "hot-keys",
     )
-    salted = left.join(F.broadcast(hot), key, "left").withColumn(
+    salted = left.join(hot, key, "left").withColumn(
         "_salt", F.pmod(F.xxhash64(row_key), F.coalesce("_salts", F.lit(1))).cast("int")
     ).drop("_salts")
-    repeated = right.join(F.broadcast(hot), key, "left").withColumn(
+    repeated = right.join(hot, key, "left").withColumn(
         "_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1))
     ).drop("_salts")
     return salted.join(repeated, [key, "_salt"], how).drop("_salt")

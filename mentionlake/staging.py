@@ -10,10 +10,14 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 
 _own_folders: dict[str, str] = {}
+_scratch: ContextVar[str] = ContextVar("scratch", default="")
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -36,7 +40,21 @@ def shared_folder(spark: SparkSession) -> str:
 
 def new_path(spark: SparkSession, name: str) -> str:
     app = spark.sparkContext.applicationId
-    return f"{shared_folder(spark)}/mentionlake/{app}/{name}-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/mentionlake/{app}/{_scratch.get()}{name}-{uuid.uuid4().hex}"
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables staged inside are deleted at its end; for work whose results are written
+    before it, as a micro-batch's are."""
+    before = _scratch.get()
+    mark = _scratch.set(f"{before}scratch-{uuid.uuid4().hex}/")
+    folder = f"{shared_folder(spark)}/mentionlake/{spark.sparkContext.applicationId}/{_scratch.get()}"
+    try:
+        yield
+    finally:
+        _scratch.reset(mark)
+        _delete(spark, folder)
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
@@ -58,9 +76,10 @@ def stage_counted(
 
 def release(spark: SparkSession) -> None:
     """Delete what this application staged; call it when its results are written."""
-    jvm = spark.sparkContext._jvm
-    folder = jvm.org.apache.hadoop.fs.Path(
-        f"{shared_folder(spark)}/mentionlake/{spark.sparkContext.applicationId}"
-    )
-    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    fs.delete(folder, True)
+    _delete(spark, f"{shared_folder(spark)}/mentionlake/{spark.sparkContext.applicationId}")
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.delete(path, True)
