@@ -30,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mentionlake.llm.arrays import distinct_pairs, mix, shingles, slices, split_words
@@ -86,7 +86,8 @@ def _flat(values: np.ndarray, width: int) -> pa.Array:
 
 
 def sketched(docs: DataFrame) -> DataFrame:
-    """(doc_id, class, n_shingles, sketch) of every row."""
+    """(row_key, doc_id, class, n_shingles, sketch) of every row; ``row_key`` stands for the
+    row's id and text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -94,11 +95,16 @@ def sketched(docs: DataFrame) -> DataFrame:
                 rows, values, offsets = shingle_sets(part.column("text"))
                 sizes = np.diff(offsets)
                 yield pa.RecordBatch.from_arrays([
-                    part.column("doc_id"), pa.array(class_of(values, offsets)), pa.array(sizes, pa.int64()),
-                    _flat(sketch(rows, values, sizes), REGISTERS),
-                ], ["doc_id", "class", "n_shingles", "sketch"])
+                    part.column("row_key"), part.column("doc_id"), pa.array(class_of(values, offsets)),
+                    pa.array(sizes, pa.int64()), _flat(sketch(rows, values, sizes), REGISTERS),
+                ], ["row_key", "doc_id", "class", "n_shingles", "sketch"])
 
-    return texts_of(docs).mapInArrow(run, "doc_id long, class long, n_shingles long, sketch binary")
+    keyed = texts_of(docs).withColumn("row_key", _row_key())
+    return keyed.mapInArrow(run, "row_key long, doc_id long, class long, n_shingles long, sketch binary")
+
+
+def _row_key() -> Column:
+    return F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
 
 
 def full_sets(docs: DataFrame) -> DataFrame:
@@ -231,6 +237,11 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
     Links join documents with 100 * common >= percent * union of their shingles.
     """
+    return _decided(docs, percent).drop("row_key")
+
+
+def _decided(docs: DataFrame, percent: int) -> DataFrame:
+    """The rows of ``near_duplicates`` with their ``row_key``."""
     rows = stage(sketched(docs), "near-rows")
     some = rows.filter("n_shingles > 0")
     first = some.groupBy("class").agg(F.min("doc_id").alias("first_doc"))
@@ -273,7 +284,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     component = F.when(F.col("n_shingles") > 0, F.coalesce("least", "first_doc")).otherwise(F.col("doc_id"))
     return (
         rows.join(classes.select("class", "first_doc").join(names, "class", "left"), "class", "left")
-        .select("doc_id", "n_shingles", component.alias("component_id"))
+        .select("row_key", "doc_id", "n_shingles", component.alias("component_id"))
         .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
     )
 
@@ -307,6 +318,9 @@ def without_near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFram
 
     Repeated rows of one document are one document: they stay once.
     """
-    kept = stage(near_duplicates(docs, percent).filter("kept").groupBy("doc_id").count(), "near-kept")
-    left = docs.join(kept.select("doc_id"), docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
-    return left if kept.filter("count > 1").isEmpty() else left.dropDuplicates(["doc_id"])
+    decided = stage(_decided(docs, percent).select("row_key", "kept"), "near-decided")
+    # the dropped rows are the fewer ones to look up
+    dropped = stage(decided.filter("NOT kept").select(F.col("row_key").alias("_row_key")).distinct(), "near-dropped")
+    left = docs.withColumn("_row_key", _row_key()).join(dropped, "_row_key", "left_anti")
+    repeated = decided.filter("kept").groupBy("row_key").count().filter("count > 1")
+    return (left if repeated.isEmpty() else left.dropDuplicates(["_row_key"])).select(*docs.columns)
