@@ -7,9 +7,10 @@ dictionary. With each symbol goes the stretch of words that decides it: its own
 neighbours that the rounds looked at. A symbol decided by words inside a window stands in
 every equal window at the same place.
 
-Each window of 20 words takes the least of the symbols decided inside it as its anchor;
-a window without one takes its least word. Equal windows have equal anchors, and of the
-many words only a few places are anchors. One shuffle of (anchor, text digest) finds the
+Each window of 20 words looks up the least of the symbols decided inside it, or without one
+its least word, and takes the half window before or after that place, whichever lies
+inside, as its anchor. Equal windows have equal anchors, a shared anchor is ten words long,
+and of the many places only a few are anchors. One shuffle of (anchor, text digest) finds the
 anchors that different texts share; one more finds the documents that hold them. Only
 windows at shared anchors are then compared, by 96 bits of their words, and the first
 document of each is known. Windows repeated inside one document, and documents whose
@@ -43,22 +44,25 @@ _FAR = 1 << 60
 _X, _Y = np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB)
 
 
-def _runs(name, lo, hi, row, level):
+def _runs(name, at_word, lo, hi, row, level):
     """Maximal runs of one symbol as one symbol, decided by the symbols on both sides too."""
     new = np.ones(len(name), bool)
     new[1:] = (name[1:] != name[:-1]) | (row[1:] != row[:-1])
     at = np.flatnonzero(new)
     length = np.diff(np.append(at, len(name))).astype(np.uint64)
     own_lo, own_hi = np.minimum.reduceat(lo, at), np.maximum.reduceat(hi, at)
+    last = np.append(at[1:], len(name)) - 1
+    # only the symbol next to a run tells where it ends, not that one's own run
     row = row[at]
-    before, after = np.full(len(at), -_FAR), np.full(len(at), _FAR)
-    joined = row[1:] == row[:-1]
-    before[1:][joined], after[:-1][joined] = own_lo[:-1][joined], own_hi[1:][joined]
+    before, after = np.flatnonzero(row[1:] == row[:-1]) + 1, np.flatnonzero(row[1:] == row[:-1])
+    new_lo, new_hi = np.full(len(at), -_FAR), np.full(len(at), _FAR)
+    new_lo[before], new_hi[after] = lo[at[before] - 1], hi[last[after] + 1]
+    new_lo[after], new_hi[before] = np.minimum(new_lo[after], lo[last[after] + 1]), np.maximum(new_hi[before], hi[at[before] - 1])
     name = np.where(length == 1, name[at], mix(name[at] ^ mix(length * _X + np.uint64(level))))
-    return name, np.minimum(own_lo, before), np.maximum(own_hi, after), row
+    return name, at_word[at], np.minimum(own_lo, new_lo), np.maximum(own_hi, new_hi), row
 
 
-def _pairs(name, lo, hi, row, level):
+def _pairs(name, at_word, lo, hi, row, level):
     """Left symbols with a right symbol behind them as one symbol; the others are decided by
     the neighbour that might have made a pair."""
     right = (mix(name + np.uint64(level) * _Y) >> np.uint64(63)).astype(bool)
@@ -79,7 +83,7 @@ def _pairs(name, lo, hi, row, level):
     i = np.flatnonzero(merge)
     name = name.copy()
     name[i] = mix(name[i] * _X + name[i + 1] * _Y + np.uint64(level))
-    return name[~second], new_lo[~second], new_hi[~second], row[~second]
+    return name[~second], at_word[~second], new_lo[~second], new_hi[~second], row[~second]
 
 
 def anchors(words: Words, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
@@ -89,23 +93,31 @@ def anchors(words: Words, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]
     if not len(starts):
         return starts, np.zeros(0, np.uint64)
     with np.errstate(over="ignore"):
-        name, lo, row = words.hashes, np.arange(n), rows
+        name, at_word, lo, row = words.hashes, np.arange(n), np.arange(n), rows
         hi = lo + 1
         for level in range(1, LEVELS + 1):
-            name, lo, hi, row = _pairs(*_runs(name, lo, hi, row, level), level)
+            name, at_word, lo, hi, row = _pairs(*_runs(name, at_word, lo, hi, row, level), level)
         small = hi - lo <= window
-        key, lo, hi = mix(name[small] ^ _Y), lo[small], hi[small]
-        best = np.full(n, _NONE)
+        key, at_word, lo, hi = mix(name[small] ^ _Y), at_word[small], lo[small], hi[small]
+        best, where = np.full(n, _NONE), np.full(n, n)
         for shift in range(window + 1):
             place = hi - window + shift
             live = (place <= lo) & (place >= 0)
             np.minimum.at(best, place[live], key[live])
-        best = best[starts]
-        missing = np.flatnonzero(best == _NONE)
+        for shift in range(window + 1):  # the first place of the least symbol
+            place = hi - window + shift
+            live = np.flatnonzero((place <= lo) & (place >= 0))
+            live = live[best[place[live]] == key[live]]
+            np.minimum.at(where, place[live], at_word[live])
+        where = where[starts]
+        missing = np.flatnonzero(where == n)
         for k in range(0, len(missing), 1 << 14):
             some = missing[k : k + (1 << 14)]
-            best[some] = mix(words.hashes[starts[some][:, None] + np.arange(window)] ^ _X).min(1)
-    return starts, best
+            where[some] = starts[some] + mix(words.hashes[starts[some][:, None] + np.arange(window)] ^ _X).argmin(1)
+        half = window // 2
+        halves = windows(words.hashes, half, 3)
+        late = where - starts >= half
+        return starts, mix(halves[np.where(late, where - half, where)] + late.astype(np.uint64))
 
 
 def window_hashes(words: Words, starts: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
