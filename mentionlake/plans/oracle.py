@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from mentionlake.functions.ids import URL_NAMESPACE
-from mentionlake.functions.tone import TONE_SCORES, TONE_TITLES
 from mentionlake.plans.catalog import (
     BATCH, COOLDOWN, EXCLUSIONS, KEYWORDS, LEMMA_EXCLUSIONS, LEMMA_KEYWORDS, PARAMS, SPIKE, SUFFIX, WINDOW,
 )
 
+# Fixed values, written out here so that a wrong one in the code under test shows:
+# the URL namespace of RFC 4122, the scores of the tone labels, their titles.
+URL_NAMESPACE = "6ba7b8119dad11d180b400c04fd430c8"
+TONE_SCORES = {"negative": 0.15, "neutral": 0.5, "positive": 0.85}
+TONE_TITLES = {"negative": "🔴 negative", "neutral": "🟡 neutral", "positive": "🟢 positive"}
+
 _WS = (
     r"\x{09}-\x{0d}\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 )
