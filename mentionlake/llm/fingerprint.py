@@ -148,10 +148,9 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     ends = made.filter("range IS NOT NULL")
     # one row per range: a short list, and without texts
     order = Window.orderBy("range")
-    ranges = ends.select("range").distinct()
-    lowest = ranges.agg(F.min("range").alias("lowest"))
-    following = ranges.withColumn("next", F.lead("range").over(order)).join(F.broadcast(lowest)).select(
-        "range", F.coalesce("next", "lowest").alias("next")
+    everything = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    following = ends.select("range").distinct().select(
+        "range", F.coalesce(F.lead("range").over(order), F.min("range").over(everything)).alias("next")
     )
     heads = ends.filter("first").select(F.col("range").alias("next"), F.col("text").alias("following"))
     pairs = ends.filter("NOT first").select("range", "doc_id", "text").join(following, "range").join(heads, "next")
