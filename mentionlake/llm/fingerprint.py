@@ -84,9 +84,10 @@ def likeness(a: dict[int, int], b: dict[int, int]) -> float:
     return min(1.0, common / min(sum(a.values()), sum(b.values())))
 
 
-def spelled(chunks: dict[int, int]) -> str:
-    """Eight hex digits of digest and two of length per chunk, sorted."""
-    return "".join(sorted([f"{d:08x}{n:02x}" for d, n in chunks.items()]))
+def packed(chunks: dict[int, int]) -> bytes:
+    """Four bytes of digest and one of length per chunk, sorted; written out as hex digits
+    at the very end, which halves what is staged."""
+    return b"".join(sorted([((d << 8) | n).to_bytes(5, "big") for d, n in chunks.items()]))
 
 
 def edited(text: str, following: str) -> str:
@@ -95,18 +96,18 @@ def edited(text: str, following: str) -> str:
 
 
 _COLUMNS = [
-    ("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()),
-    ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64()),
+    ("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.binary()), ("fingerprint", pa.binary()),
+    ("edited_fingerprint", pa.binary()), ("near_edited", pa.float64()), ("near_next", pa.float64()),
 ]
-_SHAPE = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+_SHAPE = "doc_id long, n_chars long, edited_sha256 binary, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double"
 
 
 def _results(ids: list, texts: list[str], following: list[str]) -> dict[str, list]:
     changed = [edited(t, f).encode() for t, f in zip(texts, following)]
     own, next_, other = (chunk_sets(x) for x in ([t.encode() for t in texts], [f.encode() for f in following], changed))
     return dict(zip([name for name, _ in _COLUMNS], [
-        ids, [len(t) for t in texts], [hashlib.sha256(c).hexdigest() for c in changed], list(map(spelled, own)),
-        list(map(spelled, other)), list(map(likeness, own, other)), list(map(likeness, own, next_)),
+        ids, [len(t) for t in texts], [hashlib.sha256(c).digest() for c in changed], list(map(packed, own)),
+        list(map(packed, other)), list(map(likeness, own, other)), list(map(likeness, own, next_)),
     ]))
 
 
@@ -155,7 +156,8 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     heads = ends.filter("first").select(F.col("range").alias("next"), F.col("text").alias("following"))
     pairs = ends.filter("NOT first").select("range", "doc_id", "text").join(following, "range").join(heads, "next")
     rest = pairs.select("doc_id", "text", "following").mapInArrow(_of_pairs, _SHAPE)
-    return made.filter("range IS NULL").select(*[name for name, _ in _COLUMNS]).unionByName(rest)
+    both = made.filter("range IS NULL").select(*[name for name, _ in _COLUMNS]).unionByName(rest)
+    return both.select(*[F.lower(F.hex(name)).alias(name) if kind == pa.binary() else F.col(name) for name, kind in _COLUMNS])
 
 
 def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
