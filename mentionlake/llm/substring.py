@@ -327,7 +327,8 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     holders = stage(holders.join(fresh, "doc_id", "left_semi"), "repeat-holders")
     held = stage(_packed(docs).join(holders, "doc_id"), "repeat-texts")
 
-    found = stage(_window_rows(held), "repeat-windows")
+    # made anew for both uses below: cheaper than to keep them, texts at hand are few
+    found = _window_rows(held)
     least = found.groupBy("h1", "h2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most")
     late = found.join(least.drop("most"), ["h1", "h2"]).filter("doc_id > least")
     removed = late.groupBy("doc_id", "sequence").agg(F.collect_set("start").alias("removed"))
