@@ -159,7 +159,8 @@ def passages(docs: DataFrame, words: np.ndarray, scores: np.ndarray, other: floa
 
 def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, score, passages) of every row, learned from (doc_id, label)."""
-    model = lexicon(word_counts(texts_of(docs).join(labels, "doc_id")))
+    # labels grow with the documents: one plan at every size, and never a broadcast
+    model = lexicon(word_counts(texts_of(docs).join(labels.hint("merge"), "doc_id")))
     raw = stage(passages(docs, *model), "toxic-raw")
     curve: Calibration = fit(stage(raw.join(labels, "doc_id").select("raw", "label"), "toxic-train"))
 
