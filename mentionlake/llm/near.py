@@ -267,7 +267,7 @@ def _decided(docs: DataFrame, percent: int) -> DataFrame:
     likely = stage(_likely_pairs(stars.join(end("b"), "b").join(end("a"), "a"), percent), "near-pairs")
 
     wanted = shared.select("class").distinct().join(classes.select("class", "first_doc"), "class").select(F.col("first_doc").alias("doc_id"))
-    texts = texts_of(docs).join(stage(wanted.distinct(), "near-wanted"), "doc_id", "left_semi")
+    texts = texts_of(docs).join(stage(wanted.distinct(), "near-wanted").hint("merge"), "doc_id", "left_semi")
     sets = stage(full_sets(texts.select("text")), "near-sets")
     a, b = (sets.select(F.col("class").alias(x), F.col("full").alias(f"full_{x}")) for x in "ab")
     links = stage(_verified(likely.join(b, "b").join(a, "a"), percent).distinct(), "near-links")
@@ -319,8 +319,9 @@ def without_near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFram
     Repeated rows of one document are one document: they stay once.
     """
     decided = stage(_decided(docs, percent).select("row_key", "kept"), "near-decided")
-    # the dropped rows are the fewer ones to look up
+    # the dropped rows are the fewer ones to look up; they grow with the documents, so the
+    # plan is the same at every size
     dropped = stage(decided.filter("NOT kept").select(F.col("row_key").alias("_row_key")).distinct(), "near-dropped")
-    left = docs.withColumn("_row_key", _row_key()).join(dropped, "_row_key", "left_anti")
+    left = docs.withColumn("_row_key", _row_key()).join(dropped.hint("merge"), "_row_key", "left_anti")
     repeated = decided.filter("kept").groupBy("row_key").count().filter("count > 1")
     return (left if repeated.isEmpty() else left.dropDuplicates(["_row_key"])).select(*docs.columns)
