@@ -16,7 +16,9 @@ The benchmark is a query set against all documents. It is taken in blocks of bou
 size, so a task never holds more than one block whatever the benchmark's size.
 
 Edge cases: a null or empty document leaks nothing; items without words are never found;
-an item of fewer than five words has its whole sequence as its only shingle; equal items
+an item of fewer than five words has its whole sequence as its only shingle; an item is a
+distinct (item_id, text), so a repeated row counts once, texts that share an id are
+different items reported under that id, and a null id is reported as null; equal texts
 are all reported; a document repeated in the input is reported for each row. Columns
 other than doc_id, text, item_id are never read.
 """
@@ -103,7 +105,10 @@ def _shingles_of(hashes: np.ndarray) -> np.ndarray:
 
 
 def item_shingles(bench: DataFrame) -> DataFrame:
-    """(item_id, length, size, prints, shingles) of every item with words."""
+    """(item_key, item_id, length, size, prints, shingles) of every item with words.
+
+    ``item_key`` stands for the item's id and text; repeated rows are one item.
+    """
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -111,32 +116,34 @@ def item_shingles(bench: DataFrame) -> DataFrame:
                 words = words_of(part.column("text"))
                 total = votes(words.hashes)
                 rows = []
-                for i, item in enumerate(part.column("item_id").to_pylist()):
+                for i, (key, item) in enumerate(zip(part.column("item_key").to_pylist(), part.column("item_id").to_pylist())):
                     lo, hi = int(words.offsets[i]), int(words.offsets[i + 1])
                     if hi == lo:
                         continue
                     sizes = ladder(hi - lo)
                     size = int(sizes[sizes <= max(hi - lo - 1, 1)][-1])
                     marks = prints(total[:, lo : hi + 1], size)[[0, hi - lo - size]]
-                    rows.append({"item_id": item, "length": hi - lo, "size": size, "prints": marks.view(np.int64).tolist(),
+                    rows.append({"item_key": key, "item_id": item, "length": hi - lo, "size": size, "prints": marks.view(np.int64).tolist(),
                                  "shingles": _shingles_of(words.hashes[lo:hi]).view(np.int64).tolist()})
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
-    schema = pa.schema([("item_id", pa.int64()), ("length", pa.int64()), ("size", pa.int64()), ("prints", pa.list_(pa.int64())),
-                        ("shingles", pa.list_(pa.int64()))])
-    table = bench.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
-    return table.mapInArrow(made, "item_id long, length long, size long, prints array<long>, shingles array<long>")
+    schema = pa.schema([("item_key", pa.int64()), ("item_id", pa.int64()), ("length", pa.int64()), ("size", pa.int64()),
+                        ("prints", pa.list_(pa.int64())), ("shingles", pa.list_(pa.int64()))])
+    table = bench.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).distinct()
+    return table.select(F.xxhash64("item_id", "text").alias("item_key"), "item_id", "text").mapInArrow(
+        made, "item_key long, item_id long, length long, size long, prints array<long>, shingles array<long>"
+    )
 
 
 def weighted(items: DataFrame) -> DataFrame:
     """Adds ``weights``: 1 / (1 + log2 of the number of items that share the shingle)."""
-    each = items.select("item_id", F.posexplode("shingles").alias("at", "shingle"))
+    each = items.select("item_key", F.posexplode("shingles").alias("at", "shingle"))
     shared = each.groupBy("shingle").agg(F.count("*").alias("n"))
-    weights = each.join(shared, "shingle").groupBy("item_id").agg(
+    weights = each.join(shared, "shingle").groupBy("item_key").agg(
         F.array_sort(F.collect_list(F.struct("at", (1 / (1 + F.log2("n"))).alias("w")))).alias("w")
-    ).select("item_id", F.col("w.w").alias("weights"))
-    return items.join(weights, "item_id")
+    ).select("item_key", F.col("w.w").alias("weights"))
+    return items.join(weights, "item_key")
 
 
 class Index:
@@ -230,10 +237,10 @@ def _blocks(items: DataFrame, size: int) -> Iterator[Items]:
     n = keyed.count()
     parts = max(1, -(-n // size))
     for part in range(parts):
-        rows = keyed.filter(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == part).collect()
+        rows = keyed.filter(F.pmod(F.xxhash64("item_key"), F.lit(parts)) == part).collect()
         if rows:
             yield Items(
-                np.array([r.item_id for r in rows]), np.array([r["size"] for r in rows]), np.array([r.length for r in rows]),
+                np.array([r.item_id for r in rows], object), np.array([r["size"] for r in rows]), np.array([r.length for r in rows]),
                 np.array([r.prints for r in rows], np.int64).view(np.uint64),
                 [np.array(r.shingles, np.int64).view(np.uint64) for r in rows], [np.array(r.weights) for r in rows],
             )
@@ -253,7 +260,7 @@ def leaks(docs: DataFrame, bench: DataFrame, radius: int = RADIUS, similarity: f
                     if hits:
                         row, item, at, score = zip(*hits)
                         yield pa.RecordBatch.from_arrays([
-                            part.column("doc_id").take(pa.array(row)), pa.array(items.ids[list(item)]),
+                            part.column("doc_id").take(pa.array(row)), pa.array(items.ids[list(item)], pa.int64()),
                             pa.array(at, pa.int64()), pa.array(score, pa.float64()),
                         ], ["doc_id", "item_id", "first_word", "similarity"])
 

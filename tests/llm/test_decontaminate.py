@@ -48,6 +48,16 @@ def test_empty_tables(spark, docs, no_docs):
     assert without_leaks(docs, bench.limit(0)).count() == docs.count()
 
 
+def test_repeated_rows_shared_and_null_ids(spark):
+    """An item is a distinct pair of id and text."""
+    text = {name: " ".join(f"{name}{i}" for i in range(40)) for name in "abcd"}
+    bench = frame(spark, [(1, text["a"]), (1, text["a"]), (2, text["b"]), (2, text["c"]), (2, "cc dd"), (None, text["d"])], "item_id")
+    table = frame(spark, [(i, f"before {t} after") for i, t in enumerate(text.values())])
+    got = sorted((r.doc_id, r.item_id, r.similarity) for r in leaks(table, bench).collect())
+    assert got == [(0, 1, 1.0), (1, 2, 1.0), (2, 2, 1.0), (3, None, 1.0)]
+    assert without_leaks(table, bench).isEmpty()
+
+
 def test_ladder():
     sizes = ladder(100)
     assert sizes[0] == 1 and (sizes[1:] > sizes[:-1]).all() and sizes[-1] >= 100
