@@ -8,9 +8,10 @@ fingerprinted for each size by prefix sums of the words' votes. Window and item
 fingerprints within a Hamming radius are found by a multi-index (Norouzi, Punjani,
 Fleet, CVPR 2012): of four 16-bit blocks, one differs by at most a quarter of the radius,
 so looking up all values near an item's block misses no fingerprint within the radius.
-A candidate is then verified exactly: the weighted shingles of the item against those of
-the item-sized window of the document around it, weights falling with the number of
-items that share a shingle.
+A candidate is then verified exactly: the shingles of the item against those of the
+item-sized window of the document around it. Its similarity is the plain one or, if that
+is higher, the one with weights that fall with the number of different items that share a
+shingle; so near copies count as such in groups of similar items too.
 
 The benchmark is a query set against all documents. It is taken in blocks of bounded
 size, so a task never holds more than one block whatever the benchmark's size.
@@ -137,9 +138,11 @@ def item_shingles(bench: DataFrame) -> DataFrame:
 
 
 def weighted(items: DataFrame) -> DataFrame:
-    """Adds ``weights``: 1 / (1 + log2 of the number of items that share the shingle)."""
+    """Adds ``weights``: 1 / (1 + log2 of the number of different items that share the
+    shingle); items with the same shingles are not different."""
     each = items.select("item_key", F.posexplode("shingles").alias("at", "shingle"))
-    shared = each.groupBy("shingle").agg(F.count("*").alias("n"))
+    different = items.groupBy("shingles").agg(F.lit(1)).select(F.explode("shingles").alias("shingle"))
+    shared = different.groupBy("shingle").agg(F.count("*").alias("n"))
     weights = each.join(shared, "shingle").groupBy("item_key").agg(
         F.array_sort(F.collect_list(F.struct("at", (1 / (1 + F.log2("n"))).alias("w")))).alias("w")
     ).select("item_key", F.col("w.w").alias("weights"))
@@ -157,9 +160,10 @@ class Index:
         if radius >= 12:
             raise ValueError("four blocks serve radii below 12")
         self.shingles = np.unique(np.concatenate(items.shingles))
-        # the fewest shingles whose weights can reach the similarity
+        # the fewest shingles that can reach the similarity, by their weights or their number
         self.need = np.array([
-            np.searchsorted(np.cumsum(-np.sort(-w)), similarity * w.sum() - 1e-9) + 1 for w in items.weights
+            min(np.searchsorted(np.cumsum(-np.sort(-w)), similarity * w.sum() - 1e-9) + 1, int(np.ceil(similarity * len(w) - 1e-9)))
+            for w in items.weights
         ])
         self.sizes = {}
         for size in np.unique(items.sizes).tolist():
@@ -220,15 +224,16 @@ class Index:
         return (lengths < SHINGLE) | (known[np.maximum(end, first)] - known[first] >= self.need[items])
 
     def _similarity(self, words: Words, row: int, start: int, item: int) -> float:
-        """Weighted Jaccard of the item and the item-sized window; foreign shingles weigh 1."""
+        """The higher one of the plain and the weighted Jaccard of the item and the item-sized
+        window; foreign shingles weigh 1."""
         lo, hi = int(words.offsets[row]), int(words.offsets[row + 1])
         length = int(self.items.lengths[item])
         first = max(lo, lo + start)
         there = _shingles_of(words.hashes[first : min(first + length, hi)])
         here, weights = self.items.shingles[item], self.items.weights[item]
         common = np.isin(here, there)
-        shared = float(weights[common].sum())
-        return shared / (float(weights.sum()) + len(there) - int(common.sum()))
+        shared, n = float(weights[common].sum()), int(common.sum())
+        return max(shared / (float(weights.sum()) + len(there) - n), n / (len(here) + len(there) - n))
 
 
 def _blocks(items: DataFrame, size: int) -> Iterator[Items]:

@@ -58,6 +58,17 @@ def test_repeated_rows_shared_and_null_ids(spark):
     assert without_leaks(table, bench).isEmpty()
 
 
+def test_near_copies_of_items_that_share_text(spark):
+    """One inner word changed in an item of 60, 0.836 alike: unique, copied, and templated."""
+    words = [f"t{i}" for i in range(60)]
+    for others in ([], [words] * 9, [words[:50] + [f"o{k}x{i}" for i in range(10)] for k in range(9)]):
+        bench = frame(spark, [(k, " ".join(w)) for k, w in enumerate([words, *others])], "item_id")
+        table = frame(spark, [(0, " ".join(["before", *words[:30], "other", *words[31:], "after"]))])
+        got = {r.item_id: r.similarity for r in leaks(table, bench).collect()}
+        assert set(got) == set(range(10 if others and others[0] == words else 1))
+        assert all(round(s, 3) >= 0.836 for s in got.values())
+
+
 def test_ladder():
     sizes = ladder(100)
     assert sizes[0] == 1 and (sizes[1:] > sizes[:-1]).all() and sizes[-1] >= 100
