@@ -1,8 +1,10 @@
 """Benchmark decontamination: SimHash of item-sized windows, then exact similarity.
 
-Words are runs of letters and digits, lower-cased. An item has two fingerprints, the
-SimHash of its first and of its last L words, L being the largest window size below its
-length: a change at either end leaves one of them as it was. Window sizes form a short
+Words are runs of letters and digits, lower-cased. An item has fingerprints, the SimHashes
+of some of its windows. Two are its first and its last L words, L being the largest window
+size below its length. The others are shorter and lie in a row, so close that wherever
+words are changed and the plain similarity still holds, one window has none of them and
+its fingerprint is as it was. Window sizes form a short
 geometric ladder. Every window of every document is
 fingerprinted for each size by prefix sums of the words' votes. Window and item
 fingerprints within a Hamming radius are found by a multi-index (Norouzi, Punjani,
@@ -41,8 +43,6 @@ from mentionlake.staging import stage
 
 SHINGLE = 5
 SIMILARITY = 0.8
-# One changed word inside a window of 44 turns more than 11 of 64 bits in 1 of 5,000 cases;
-# shorter items with a change inside are below the similarity anyway.
 RADIUS = 11
 # Items per pass over the documents
 BLOCK = 20_000
@@ -87,13 +87,34 @@ def prints(total: np.ndarray, size: int) -> np.ndarray:
     return np.ascontiguousarray(marks.T).view(np.uint64).ravel()
 
 
+def item_windows(length: int, similarity: float = SIMILARITY) -> list[tuple[int, int]]:
+    """(size, first word) of the windows of an item that are fingerprinted.
+
+    If f of its k shingles may be replaced at the similarity, a change at an end costs a
+    shingle a word, one inside ``SHINGLE`` and more: so at most f words are changed, in at
+    most f / SHINGLE places inside, and one of the stretches between is as long as
+    ``intact``. Windows of a row less than that apart can't all miss it.
+    """
+    sizes = ladder(length)
+    long = int(sizes[sizes <= max(length - 1, 1)][-1])
+    found = {(long, 0), (long, length - long)}
+    foreign = int(max(length - SHINGLE + 1, 1) * (1 - similarity) / (1 + similarity) + 1e-9)
+    intact = -(-(length - foreign) // (foreign // SHINGLE + 1))
+    size = int(sizes[sizes <= max(intact * 2 // 3, 1)][-1]) if foreign >= SHINGLE else int(sizes[sizes <= intact][-1])
+    found.update((size, min(at, length - size)) for at in range(0, length - size + intact - size + 1, intact - size + 1))
+    return sorted(found)
+
+
 @dataclass(frozen=True)
 class Items:
-    """A block of benchmark items with their fingerprints and weighted shingles."""
+    """A block of benchmark items with their weighted shingles; ``owners``, ``sizes``,
+    ``shifts`` and ``prints`` are those of all their fingerprints."""
 
     ids: np.ndarray
-    sizes: np.ndarray
     lengths: np.ndarray
+    owners: np.ndarray
+    sizes: np.ndarray
+    shifts: np.ndarray
     prints: np.ndarray
     shingles: list[np.ndarray]
     weights: list[np.ndarray]
@@ -105,8 +126,8 @@ def _shingles_of(hashes: np.ndarray) -> np.ndarray:
     return windows(hashes, len(hashes)) if len(hashes) else hashes
 
 
-def item_shingles(bench: DataFrame) -> DataFrame:
-    """(item_key, item_id, length, size, prints, shingles) of every item with words.
+def item_shingles(bench: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """(item_key, item_id, length, sizes, shifts, prints, shingles) of every item with words.
 
     ``item_key`` stands for the item's id and text; repeated rows are one item.
     """
@@ -121,19 +142,20 @@ def item_shingles(bench: DataFrame) -> DataFrame:
                     lo, hi = int(words.offsets[i]), int(words.offsets[i + 1])
                     if hi == lo:
                         continue
-                    sizes = ladder(hi - lo)
-                    size = int(sizes[sizes <= max(hi - lo - 1, 1)][-1])
-                    marks = prints(total[:, lo : hi + 1], size)[[0, hi - lo - size]]
-                    rows.append({"item_key": key, "item_id": item, "length": hi - lo, "size": size, "prints": marks.view(np.int64).tolist(),
+                    sizes, shifts = zip(*item_windows(hi - lo, similarity))
+                    marks = {size: prints(total[:, lo : hi + 1], size).view(np.int64) for size in set(sizes)}
+                    rows.append({"item_key": key, "item_id": item, "length": hi - lo, "sizes": list(sizes), "shifts": list(shifts),
+                                 "prints": [int(marks[size][at]) for size, at in zip(sizes, shifts)],
                                  "shingles": _shingles_of(words.hashes[lo:hi]).view(np.int64).tolist()})
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
-    schema = pa.schema([("item_key", pa.int64()), ("item_id", pa.int64()), ("length", pa.int64()), ("size", pa.int64()),
-                        ("prints", pa.list_(pa.int64())), ("shingles", pa.list_(pa.int64()))])
+    schema = pa.schema([("item_key", pa.int64()), ("item_id", pa.int64()), ("length", pa.int64()),
+                        *[(name, pa.list_(pa.int64())) for name in ("sizes", "shifts", "prints", "shingles")]])
     table = bench.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).distinct()
     return table.select(F.xxhash64("item_id", "text").alias("item_key"), "item_id", "text").mapInArrow(
-        made, "item_key long, item_id long, length long, size long, prints array<long>, shingles array<long>"
+        made,
+        "item_key long, item_id long, length long, sizes array<long>, shifts array<long>, prints array<long>, shingles array<long>",
     )
 
 
@@ -167,14 +189,14 @@ class Index:
         ])
         self.sizes = {}
         for size in np.unique(items.sizes).tolist():
-            own = np.flatnonzero(items.sizes == size)
-            marks, shifts = items.prints[own].T.ravel(), np.concatenate([0 * own, items.lengths[own] - size])
+            some = items.sizes == size
+            own, marks, shifts = items.owners[some], items.prints[some], items.shifts[some]
             near = np.zeros((4, 1 << 16), bool)
             for b in range(4):
                 block = ((marks >> np.uint64(16 * b)) & np.uint64(0xFFFF)).astype(np.int64)
                 for f in flips:
                     near[b, block ^ f] = True
-            self.sizes[size] = np.tile(own, 2), marks, shifts, near
+            self.sizes[size] = own, marks, shifts, near
 
     def find(self, words: Words) -> list[tuple[int, int, int, float]]:
         """(text, item, first word, similarity): the best place of each item in each text."""
@@ -197,8 +219,9 @@ class Index:
             around, last = int(self.items.lengths[own].max()), len(known) - 1
             near_known = known[np.minimum(hit + around, last)] - known[np.maximum(hit - around, 0)]
             hit = hit[near_known >= self.need[own][self.items.lengths[own] >= SHINGLE].min(initial=around)] if size >= SHINGLE else hit
-            for k in range(0, len(hit), 4096):
-                some = hit[k : k + 4096]
+            step = max(1, min(4096, (1 << 23) // len(targets)))  # comparisons held at a time
+            for k in range(0, len(hit), step):
+                some = hit[k : k + step]
                 far = np.bitwise_count(marks[some][:, None] ^ targets[None, :])
                 at, which = np.nonzero(far <= self.radius)
                 starts = some[at] - shifts[which]
@@ -245,8 +268,10 @@ def _blocks(items: DataFrame, size: int) -> Iterator[Items]:
         rows = keyed.filter(F.pmod(F.xxhash64("item_key"), F.lit(parts)) == part).collect()
         if rows:
             yield Items(
-                np.array([r.item_id for r in rows], object), np.array([r["size"] for r in rows]), np.array([r.length for r in rows]),
-                np.array([r.prints for r in rows], np.int64).view(np.uint64),
+                np.array([r.item_id for r in rows], object), np.array([r.length for r in rows]),
+                np.repeat(np.arange(len(rows)), [len(r.sizes) for r in rows]),
+                *[np.concatenate([np.array(r[name], np.int64) for r in rows]) for name in ("sizes", "shifts")],
+                np.concatenate([np.array(r.prints, np.int64) for r in rows]).view(np.uint64),
                 [np.array(r.shingles, np.int64).view(np.uint64) for r in rows], [np.array(r.weights) for r in rows],
             )
 
@@ -255,7 +280,7 @@ def leaks(docs: DataFrame, bench: DataFrame, radius: int = RADIUS, similarity: f
     """(doc_id, item_id, first_word, similarity): the best place of each item found in a document."""
     shape = "doc_id long, item_id long, first_word long, similarity double"
     found = None
-    for items in _blocks(weighted(item_shingles(bench)), block):
+    for items in _blocks(weighted(item_shingles(bench, similarity)), block):
 
         def search(batches: Iterator[pa.RecordBatch], items: Items = items) -> Iterator[pa.RecordBatch]:
             index = Index(items, radius, similarity)
@@ -276,7 +301,7 @@ def leaks(docs: DataFrame, bench: DataFrame, radius: int = RADIUS, similarity: f
 
 def without_leaks(docs: DataFrame, bench: DataFrame, radius: int = RADIUS, similarity: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
     """The rows of ``docs``, all columns, in which no item is found; filtered where they are read."""
-    for items in _blocks(weighted(item_shingles(bench)), block):
+    for items in _blocks(weighted(item_shingles(bench, similarity)), block):
 
         def clean(batches: Iterator[pa.RecordBatch], items: Items = items) -> Iterator[pa.RecordBatch]:
             index = Index(items, radius, similarity)

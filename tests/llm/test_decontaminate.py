@@ -1,6 +1,6 @@
 import random
 
-from mentionlake.llm.decontaminate import ladder, leaks, without_leaks
+from mentionlake.llm.decontaminate import item_windows, ladder, leaks, without_leaks
 
 DRAW = random.Random(8)
 WORDS = [f"w{i}" for i in range(3000)]
@@ -69,6 +69,35 @@ def test_near_copies_of_items_that_share_text(spark):
         assert all(round(s, 3) >= 0.836 for s in got.values())
 
 
+def test_runs_of_changed_words_inside_long_items(spark):
+    """Ten copies each with a run inside, 0.8 alike or a little more, none of which is missed."""
+    bench, docs = [], []
+    for k, (size, run) in enumerate([(80, 4), (100, 6), (200, 17), (400, 40)] * 10):
+        words = DRAW.choices([f"v{i}" for i in range(10**6)], k=size)
+        bench.append((k, " ".join(words)))
+        at = (size - run) // 2
+        docs.append((k, " ".join(["before", *words[:at], *(f"n{k}x{i}" for i in range(run)), *words[at + run :], "after"])))
+    got = {(r.doc_id, r.item_id) for r in leaks(frame(spark, docs), frame(spark, bench, "item_id")).collect()}
+    assert got == {(k, k) for k in range(40)}
+
+
+def test_some_window_has_no_change():
+    """Changes at ends and inside, as costly as the similarity allows, by the number of shingles they meet."""
+    draw = random.Random(5)
+    for length in [*range(13, 140), 200, 333, 400, 1000]:
+        places, k = item_windows(length), length - 4
+        assert all(0 <= at <= length - size for size, at in places)
+        for _ in range(200):
+            changed, met = set(), set()
+            while True:
+                first = draw.choice([0, length - 1, draw.randrange(length), *changed, *(i + 1 for i in changed)])
+                more = met | {i for i in range(first - 4, first + 1) if 0 <= i < k}
+                if first >= length or (k - len(more)) * 10 < 8 * (k + len(more)):
+                    break
+                changed, met = changed | {first}, more
+            assert any(not changed & set(range(at, at + size)) for size, at in places), (length, changed)
+
+
 def test_ladder():
     sizes = ladder(100)
     assert sizes[0] == 1 and (sizes[1:] > sizes[:-1]).all() and sizes[-1] >= 100
