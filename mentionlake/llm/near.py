@@ -6,7 +6,7 @@ everything below works on classes.
 * A SetSketch (Ertl, VLDB 2021) has ``REGISTERS`` registers. Each shingle throws points of
   a Poisson process at them; a register keeps its least point, on an exponential scale.
   Points beyond what fills all registers of a set of that size are not generated.
-* Five registers make a band; classes that agree in a band share a bucket. At the
+* Five registers make a band, or fewer below 0.85; classes that agree in a band share a bucket. At the
   similarity wanted a pair misses all bands with a chance below one in a million.
 * Each member of a bucket is paired with one centre of it: rows stay linear. The share of
   equal, larger and smaller registers gives the likelihood of every similarity; pairs for
@@ -39,15 +39,24 @@ from mentionlake.llm.tables import documents, texts_of
 from mentionlake.staging import stage
 
 PERCENT = 85
-REGISTERS, ROWS = 120, 5
-BANDS = REGISTERS // ROWS
+REGISTERS = 120
 BASE = 1.1
+# Chance that a pair at the wanted similarity shares no band
+MISS = 1e-6
 _SHIFT = 26
 # A pair stays if the wanted similarity is at most e^12 times less likely than the best.
 SLACK = 12.0
 BLOCK = 512
 
 
+def band_rows(percent: int) -> int:
+    """Registers per band: the most by which a pair of equal sizes at ``percent`` is missed
+    with a chance below ``MISS``."""
+    equal = 1 + 2 * np.log1p(-(1 - percent / 100) / 2 * (BASE - 1) / BASE) / np.log(BASE)
+    fit = [r for r in (5, 4, 3, 2) if (1 - equal**r) ** (REGISTERS // r) < MISS]
+    return fit[0] if fit else 1
+
+
 def shingle_sets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text number, shingle) without repeats, sorted, and the offsets of each text."""
     rows, values = distinct_pairs(*shingles(split_words(texts, lower=True)))
@@ -184,7 +193,7 @@ def _apart(block: pa.Table, percent: int) -> list[tuple[int, int]]:
     band = block.column("band")[0].as_py()
     i, j = block.column("i")[0].as_py(), block.column("j")[0].as_py()
     left, right = np.flatnonzero(parts == i), np.flatnonzero(parts == j)
-    found = []
+    found, rows = [], band_rows(percent)
     for start in range(0, len(left), 32):
         some = left[start : start + 32]
         x, y = np.repeat(some, len(right)), np.tile(right, len(some))
@@ -194,7 +203,7 @@ def _apart(block: pa.Table, percent: int) -> list[tuple[int, int]]:
         x, y = x[keep], y[keep]
         good = plausible((marks[x] > marks[y]).sum(1), (marks[x] < marks[y]).sum(1), sizes[x], sizes[y], percent)
         x, y = x[good], y[good]
-        first = (marks[x] == marks[y]).reshape(-1, BANDS, ROWS).all(2).argmax(1)
+        first = (marks[x] == marks[y]).reshape(-1, REGISTERS // rows, rows).all(2).argmax(1)
         found += zip(x[first == band].tolist(), y[first == band].tolist())
     return found
 
@@ -250,9 +259,10 @@ def _decided(docs: DataFrame, percent: int) -> DataFrame:
         .dropDuplicates(["class"]).select("class", "first_doc", F.col("n_shingles").alias("n"), "sketch"),
         "near-classes",
     )
+    width = band_rows(percent)
     keys = [
-        F.struct(F.lit(b).alias("band"), F.xxhash64(F.lit(b), F.substring("sketch", b * ROWS + 1, ROWS)).alias("key"))
-        for b in range(BANDS)
+        F.struct(F.lit(b).alias("band"), F.xxhash64(F.lit(b), F.substring("sketch", b * width + 1, width)).alias("key"))
+        for b in range(REGISTERS // width)
     ]
     bands = classes.select("class", F.inline(F.array(*keys)))
     buckets = bands.groupBy("key").agg(F.count("*").alias("members"), F.min("class").alias("centre")).filter("members > 1")
