@@ -1,7 +1,8 @@
 """Ordered signature rules for license texts, over normalised words.
 
 A rule is (priority, label, keyword, pattern). Patterns see words of letters and digits,
-lower-cased and joined by one blank; a keyword is a word that every match contains. The
+lower-cased and joined by one blank; a keyword is a word that every match contains, so
+names without a word in common are families of their own. The
 families below are spelled out as templates; versions, suffixes and ways of naming a
 license are filled in.
 """
@@ -24,21 +25,26 @@ _FAMILIES = [
     ("x11", "x11", "x11"),
     ("ncsa", "ncsa", "(?:university of illinois )?ncsa(?: open source)?"),
     ("postgresql", "postgresql", "postgresql"),
-    ("python-2", "python", "python software foundation|psf"),
+    ("python-2", "python", "python software foundation"),
+    ("python-2", "psf", "psf"),
     ("ruby", "ruby", "ruby"),
     ("php-3", "php", "php(?: license)? version 3(?: 0?1)?"),
     ("openssl", "openssl", "openssl"),
     ("boost-1", "boost", "boost software"),
-    ("eupl", "eupl", "european union public|eupl"),
+    ("eupl", "european", "european union public"),
+    ("eupl", "eupl", "eupl"),
     ("cecill", "cecill", "cecill"),
-    ("ofl", "ofl", "sil open font|ofl"),
+    ("ofl", "font", "sil open font"),
+    ("ofl", "ofl", "ofl"),
     ("afl", "academic", "academic free"),
     ("osl", "osl", "osl"),
     ("artistic", "artistic", "artistic"),
     ("ms-pl", "microsoft", "microsoft public"),
     ("ms-rl", "microsoft", "microsoft reciprocal"),
-    ("upl", "upl", "universal permissive|upl"),
-    ("0bsd", "0bsd", "0bsd|zero clause bsd"),
+    ("upl", "permissive", "universal permissive"),
+    ("upl", "upl", "upl"),
+    ("0bsd", "0bsd", "0bsd"),
+    ("0bsd", "zero", "zero clause bsd"),
     ("beerware", "beerware", "beerware"),
     ("proprietary", "proprietary", "proprietary"),
 ]
@@ -95,7 +101,8 @@ _SENTENCES = [
     ("proprietary", "confidential", "confidential and proprietary"),
     ("proprietary", "prohibited", "(?:unauthorized )?(?:copying|reproduction|distribution) (?:of this \\w+ )?is (?:strictly )?prohibited"),
     ("bsd", "bsd", "bsd(?: style)? licen[cs]e"),
-    ("bsd-2", "bsd", "(?:simplified bsd|bsd 2 clause|2 clause bsd|two clause bsd|freebsd)(?: licen[cs]e)?"),
+    ("bsd-2", "bsd", "(?:simplified bsd|bsd 2 clause|2 clause bsd|two clause bsd)(?: licen[cs]e)?"),
+    ("bsd-2", "freebsd", "freebsd(?: licen[cs]e)?"),
     ("bsd-3", "bsd", "(?:new bsd|modified bsd|revised bsd|bsd 3 clause|3 clause bsd|three clause bsd)(?: licen[cs]e)?"),
     ("bsd-4", "bsd", "(?:original bsd|bsd 4 clause|4 clause bsd|four clause bsd)(?: licen[cs]e)?"),
 ]

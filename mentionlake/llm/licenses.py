@@ -14,6 +14,8 @@ repeated rows are scanned each. Columns other than doc_id and text are never rea
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -28,6 +30,8 @@ _SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 # Words on either side of a keyword that a rule may see; no rule is longer.
 REACH = 24
+# Stands before the keyword of a place; no word contains it.
+_MARK = "#"
 
 
 def normal(text: Column) -> Column:
@@ -72,7 +76,9 @@ def scanned(docs: DataFrame) -> DataFrame:
         F.filter(F.transform(ws, lambda w, i: F.when(F.array_contains(listed, w), i)), lambda i: i.isNotNull()),
         lambda i: F.struct(
             F.get(ws, i).alias("keyword"), F.greatest(i - REACH, F.lit(0)).cast("long").alias("from"),
-            F.concat(F.lit(" "), F.array_join(F.slice(ws, F.greatest(i - REACH, F.lit(0)) + 1, F.least(i, F.lit(REACH))), " "), F.lit(" ")).alias("before"),
+            F.concat(F.lit(" "), F.array_join(F.transform(
+                F.slice(ws, F.greatest(i - REACH, F.lit(0)) + 1, F.least(i, F.lit(REACH))), lambda w: F.concat(w, F.lit(" "))
+            ), "")).alias("before"),
             F.concat(F.array_join(F.slice(ws, i + 1, F.lit(REACH)), " "), F.lit(" ")).alias("after"),
         ),
     )), 1)
@@ -85,21 +91,31 @@ def scanned(docs: DataFrame) -> DataFrame:
     )
 
 
-def detections(found: DataFrame) -> DataFrame:
-    """(row_key, label, start, end, priority) of rules, suppressed ones left out."""
+def marked(pattern: str, keyword: str) -> str:
+    """``pattern`` with the mark before its keyword."""
+    return re.sub(rf"(?<!\w){keyword}(?!\w)", _MARK + keyword, pattern)
+
+
+def matched(found: DataFrame) -> DataFrame:
+    """(row_key, rule, priority, label, start, end) of the rules across their keywords' places."""
     spark = found.sparkSession
     table = spark.createDataFrame(
-        [(i, p, label, k, f" (?:{pattern}) ", f"^(.*?) ({pattern}) ") for i, (p, label, k, pattern) in enumerate(rules())],
+        [(i, p, label, k, f" (?:{marked(pattern, k)}) ", f"^(.*?) ({marked(pattern, k)}) ") for i, (p, label, k, pattern) in enumerate(rules())],
         "rule int, priority int, label string, keyword string, anywhere string, pattern string",
     )
     places = found.select("row_key", F.explode("places").alias("p")).select("row_key", "p.*").distinct()
     near = places.join(F.broadcast(table), "keyword")  # the rules are of fixed number
-    tried = near.withColumn("around", F.concat("before", "after")).filter(F.rlike("around", F.col("anywhere")))
+    tried = near.withColumn("around", F.concat("before", F.lit(_MARK), "after")).filter(F.rlike("around", F.col("anywhere")))
     head, match = (F.expr(f"regexp_extract(around, pattern, {i})") for i in (1, 2))
-    placed = tried.select(
+    return tried.select(
         "row_key", "rule", "priority", "label",
         (F.col("from") + _blanks(F.concat(head, F.lit(" "))) - 1).alias("start"), (_blanks(match) + 1).alias("size"),
     ).withColumn("end", F.col("start") + F.col("size")).drop("size").distinct()
+
+
+def detections(found: DataFrame) -> DataFrame:
+    """(row_key, label, start, end, priority) of rules, suppressed ones left out."""
+    placed = matched(found)
     # Inside another of at least its priority: the furthest end among those that start no
     # later, longer ones first, for each priority.
     order = Window.partitionBy("row_key").orderBy("start", F.desc("end"), F.desc("priority"), "rule").rowsBetween(Window.unboundedPreceding, -1)

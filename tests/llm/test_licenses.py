@@ -1,7 +1,9 @@
+import random
 import re
 
 from mentionlake.llm.license_rules import rules
-from mentionlake.llm.licenses import PHRASES, licenses
+from mentionlake.llm.licenses import PHRASES, licenses, matched, scanned
+from mentionlake.staging import stage
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 TEXTS = [
@@ -47,5 +49,56 @@ def test_rules(spark):
     assert "lgpl" not in got[0]  # lies inside the longer detection with the version
 
 
+def examples(pattern):
+    """Texts that the pattern matches, each of its alternatives in one of them at least."""
+
+    def of(parsed):
+        out = [""]
+        for kind, value in parsed:
+            name = str(kind)
+            if name == "LITERAL":
+                more = [chr(value)]
+            elif name == "IN":
+                more = [chr(value[0][1])] if str(value[0][0]) == "LITERAL" else ["x"]
+            elif name == "MAX_REPEAT":
+                more = ([""] if value[0] == 0 else []) + of(value[2])
+            elif name == "SUBPATTERN":
+                more = of(value[3])
+            elif name == "BRANCH":
+                more = [t for branch in value[1] for t in of(branch)]
+            else:
+                assert name == "ASSERT_NOT"
+                continue
+            out = [a + b for a in out for b in more]
+        return out
+
+    return of(re._parser.parse(pattern))
+
+
+def test_every_rule_finds_its_examples(spark):
+    """Alone, and as the second mention next to the first."""
+    rows = []
+    for k, (_, _, keyword, pattern) in enumerate(rules()):
+        texts = examples(pattern)
+        for text in {texts[0], texts[-1], *random.Random(k).sample(texts, min(len(texts), 4))}:
+            assert keyword in text.split()
+            rows += [(k, text, (0,)), (k, f"{text} then {text}", (0, len(text.split()) + 1))]
+    frame = spark.createDataFrame([(i, t) for i, (_, t, _) in enumerate(rows)], "doc_id long, text string")
+    found = stage(scanned(frame), "licenses-test")
+    got = {(r.doc_id, r.rule, r.start) for r in matched(found).join(found.select("row_key", "doc_id"), "row_key").collect()}
+    assert [rows[i] for i, (k, _, at) in enumerate(rows) for a in at if (i, k, a) not in got] == []
+
+
+def test_names_without_the_short_one_and_second_mentions(spark):
+    cases = {
+        "European Union Public License": "eupl", "Universal Permissive License": "upl", "the zero clause BSD license": "0bsd",
+        "PSF license": "python-2", "FreeBSD license": "bsd-2", "BSD 3-Clause License or else the BSD License": "bsd",
+    }
+    frame = spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string")
+    got = {r.doc_id: r.labels.split(",") for r in licenses(frame).collect()}
+    for i, label in enumerate(cases.values()):
+        assert label in got[i], (i, got[i])
+
+
 def test_no_rows(no_docs):
     assert licenses(no_docs).count() == 0
