@@ -11,8 +11,9 @@ S is expected n e^-S times by chance; that makes segments significant and texts
 length comparable. Isotonic regression on the labelled rows turns the best one into a
 probability.
 
-Kept words make up at least ``SHARE`` of the word places in toxic documents each, so
-there are at most 1 / SHARE of them however large the corpus.
+All words with a clear z-score are kept, so the lexicon grows with the corpus. Up to
+``SHIP`` words go to the tasks that read the texts; a larger lexicon stays in Spark and is
+joined with the words of the texts.
 
 Edge cases: a null text is empty; an empty text has no segment and is scored like a text
 without any; repeated rows are scored each; without labels every score is 0.5, with
@@ -28,15 +29,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mentionlake.llm.arrays import distinct_pairs, slices
+from mentionlake.llm.arrays import distinct_pairs, lists, slices
 from mentionlake.llm.calibration import Calibration, fit
 from mentionlake.llm.decontaminate import words_of
 from mentionlake.llm.tables import documents, held_out, labels_of, texts_of
 from mentionlake.staging import stage
 
-SHARE = 1e-5
 LEAST_DOCUMENTS = 3
 Z = 3.0
+SHIP = 200_000
 # Weight of the prior, as a share of all counts: a word seen in toxic documents alone keeps
 # a finite score and a small variance
 PRIOR = 0.1
@@ -87,23 +88,23 @@ def word_counts(labelled: DataFrame) -> DataFrame:
     return counts.groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
-def lexicon(counts: DataFrame) -> tuple[np.ndarray, np.ndarray, float]:
-    """Hashes of the kept words in order, their scores, and the score of any other word."""
+def lexicon(counts: DataFrame) -> tuple[DataFrame, float]:
+    """(word, score) of the kept words, and the score of any other word."""
     counts = stage(counts, "toxic-counts")
     n1, n0 = counts.agg(F.sum("toxic"), F.sum("clean")).first()
     if not n1 or not n0:
-        return np.zeros(0, np.uint64), np.zeros(0), -1.0
+        return counts.limit(0).select("word", F.lit(0.0).alias("score")), -1.0
     n = n1 + n0
     prior = PRIOR * (F.col("toxic") + F.col("clean"))
     y1, y0 = F.col("toxic") + prior, F.col("clean") + prior
     odds = F.log(y1 / (n1 + PRIOR * n - y1)) - F.log(y0 / (n0 + PRIOR * n - y0))
     scored = counts.withColumn("score", odds).withColumn("z", odds / F.sqrt(1 / y1 + 1 / y0))
-    kept = scored.filter((F.col("z") >= Z) & (F.col("toxic") >= LEAST_DOCUMENTS) & (F.col("toxic") >= SHARE * n1))
-    rows = kept.select("word", "score", "toxic", "clean").collect()
-    words = np.array([r.word for r in rows], np.int64).view(np.uint64)
-    order = np.argsort(words)
-    other = np.log((n1 - sum(r.toxic for r in rows) + 1) / (n1 + 1)) - np.log((n0 - sum(r.clean for r in rows) + 1) / (n0 + 1))
-    return words[order], np.array([r.score for r in rows])[order], float(min(other, -1e-3))
+    kept = stage(
+        scored.filter((F.col("z") >= Z) & (F.col("toxic") >= LEAST_DOCUMENTS)).select("word", "score", "toxic", "clean"), "toxic-lexicon"
+    )
+    toxic, clean = kept.agg(F.coalesce(F.sum("toxic"), F.lit(0)), F.coalesce(F.sum("clean"), F.lit(0))).first()
+    other = np.log((n1 - toxic + 1) / (n1 + 1)) - np.log((n0 - clean + 1) / (n0 + 1))
+    return kept.select("word", "score"), float(min(other, -1e-3))
 
 
 def segments(before: list[float], after: list[float]) -> list[tuple[int, int, float]]:
@@ -125,9 +126,31 @@ def segments(before: list[float], after: list[float]) -> list[tuple[int, int, fl
     return [(a, b, right - left) for a, b, left, right, _ in stack]
 
 
-def passages(docs: DataFrame, words: np.ndarray, scores: np.ndarray, other: float) -> DataFrame:
+def _scan(places: np.ndarray, value: np.ndarray, n: int, other: float) -> tuple[float, str]:
+    """The best segment's score, and all significant segments, of a text of ``n`` words with
+    kept ones at ``places``, in order."""
+    after = np.cumsum(value) + other * (places - np.arange(len(places)))
+    runs = segments((after - value).tolist(), after.tolist())
+    return max(s for _, _, s in runs), ",".join(f"{places[a]}:{places[b] + 1}" for a, b, s in runs if n * np.exp(-s) <= E_VALUE)
+
+
+def _passage_rows(ids: pa.Array, counts: np.ndarray, best: np.ndarray, found: list[str]) -> pa.RecordBatch:
+    raw = best - np.log(counts + 1)
+    return pa.RecordBatch.from_arrays([ids, pa.array(raw), pa.array(best), pa.array(found, pa.string())], ["doc_id", "raw", "best", "passages"])
+
+
+_PASSAGES = "doc_id long, raw double, best double, passages string"
+
+
+def passages(docs: DataFrame, kept: DataFrame, other: float, ship: int = SHIP) -> DataFrame:
     """(doc_id, raw, best, passages): the calibrated best score of each row, its best
     segment's score, and start:end of all significant segments, in words, ends exclusive."""
+    if kept.count() > ship:
+        return _joined_passages(docs, kept, other)
+    rows = kept.collect()
+    words = np.array([r.word for r in rows], np.int64).view(np.uint64)
+    order = np.argsort(words)
+    words, scores = words[order], np.array([r.score for r in rows])[order]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -141,20 +164,50 @@ def passages(docs: DataFrame, words: np.ndarray, scores: np.ndarray, other: floa
                 best, found = np.zeros(part.num_rows), [""] * part.num_rows
                 for i in np.flatnonzero(np.diff(bounds)).tolist():
                     own = slice(bounds[i], bounds[i + 1])
-                    places = hit[own] - split.offsets[i]
-                    after = np.cumsum(value[own]) + other * (places - np.arange(len(places)))
-                    runs = segments((after - value[own]).tolist(), after.tolist())
-                    best[i] = max(s for _, _, s in runs)
-                    chance = split.counts[i] if len(runs) else 0
-                    found[i] = ",".join(
-                        f"{places[a]}:{places[b] + 1}" for a, b, s in runs if chance * np.exp(-s) <= E_VALUE
-                    )
-                raw = best - np.log(split.counts + 1)
+                    best[i], found[i] = _scan(hit[own] - split.offsets[i], value[own], split.counts[i], other)
+                yield _passage_rows(part.column("doc_id"), split.counts, best, found)
+
+    return texts_of(docs).mapInArrow(run, _PASSAGES)
+
+
+def _joined_passages(docs: DataFrame, kept: DataFrame, other: float) -> DataFrame:
+    """As ``passages``, for a lexicon of any size: the different words of each text, with
+    their places, meet it in a join."""
+
+    def taken_apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch):
+                split = words_of(part.column("text"))
+                rows = split.rows
+                order = np.lexsort((split.hashes, rows))
+                row, word, place = rows[order], split.hashes[order], (np.arange(len(rows)) - split.offsets[:-1][rows])[order]
+                new = np.ones(len(row), bool)
+                new[1:] = (row[1:] != row[:-1]) | (word[1:] != word[:-1])
+                starts = np.flatnonzero(new)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(raw), pa.array(best), pa.array(found)], ["doc_id", "raw", "best", "passages"]
+                    [part.column("row_key").take(pa.array(row[starts])), pa.array(word[starts].view(np.int64)),
+                     lists(place, np.append(starts, len(row)), pa.int64())], ["row_key", "word", "places"],
                 )
 
-    return texts_of(docs).mapInArrow(run, "doc_id long, raw double, best double, passages string")
+    def scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch):
+                counts = words_of(part.column("text")).counts
+                best, found = np.zeros(part.num_rows), [""] * part.num_rows
+                for i, hits in enumerate(part.column("hits")):
+                    if hits.is_valid:
+                        places = [np.array(h["places"], np.int64) for h in hits.as_py()]
+                        value = np.repeat([h["score"] for h in hits.as_py()], [len(p) for p in places])
+                        places = np.concatenate(places)
+                        order = np.argsort(places)
+                        best[i], found[i] = _scan(places[order], value[order], counts[i], other)
+                yield _passage_rows(part.column("doc_id"), counts, best, found)
+
+    keyed = texts_of(docs).withColumn("row_key", F.xxhash64("doc_id", "text"))
+    each = keyed.select("row_key", "text").mapInArrow(taken_apart, "row_key long, word long, places array<long>")
+    # a set, as repeated rows share their key
+    hits = each.join(kept, "word").groupBy("row_key").agg(F.collect_set(F.struct("score", "places")).alias("hits"))
+    return keyed.join(hits, "row_key", "left").select("doc_id", "text", "hits").mapInArrow(scanned, _PASSAGES)
 
 
 def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -54,6 +54,25 @@ def test_no_labels_and_one_class(spark, docs, no_docs, rows_of, name):
     assert run(no_docs, ones).count() == 0
 
 
+def test_clear_words_stay_however_large_the_corpus(spark):
+    counts = spark.createDataFrame([(1, 50, 0), (2, 10**7, 10**7), (3, 2, 0)], "word long, toxic long, clean long")
+    kept, other = toxicity.lexicon(counts)
+    assert [r.word for r in kept.collect()] == [1] and other < 0
+
+
+def test_joined_lexicon_finds_the_same(spark, docs):
+    labels = labels_of(spark, "/root/testdata/sf0.001", "toxic")
+    some = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    counts = toxicity.word_counts(some.join(labels, "doc_id"))
+    kept, other = counts.filter("pmod(word, 7) = 0").select("word", (F.pmod("word", F.lit(5)) + 2.5).alias("score")), -1.0
+    everything = some.unionByName(some.limit(5)).unionByName(docs.select("doc_id", "text"))
+    shipped, joined = (
+        sorted(((r.doc_id, round(r.raw, 9), round(r.best, 9), r.passages) for r in toxicity.passages(everything, kept, other, ship).collect()), key=repr)
+        for ship in (toxicity.SHIP, 0)
+    )
+    assert shipped == joined and any(r[3] for r in shipped)
+
+
 def test_statistics_of_odd_texts(docs):
     rows = quality.with_statistics(docs).collect()
     assert len(rows) == docs.count() and all(np.isfinite(r.stats).all() and len(r.stats) == 19 for r in rows)
