@@ -5,8 +5,9 @@ other token with a digit in it is also seen with the two words on its left: thos
 contexts and the tokens found in them are the two sides of a graph. Base values are
 seeds of confidence 1. In each round a context's score is the share of confidence among
 its distinct tokens, and a token's confidence the noisy-or of the scores of its
-contexts (Riloff, Jones, AAAI 1999; Agichtein, Gravano, 2000). Tokens of high confidence
-in contexts with enough seeds become further spans.
+contexts (Riloff, Jones, AAAI 1999; Agichtein, Gravano, 2000). Only contexts with enough
+seeds are trusted; tokens of high confidence are seeds of the next round, so they bring
+in further contexts. In trusted contexts they become further spans.
 
 Edge cases: a null text is empty; an empty one has no spans; repeated rows each get
 their spans; a table without personal data has no contexts and the loop ends at once.
@@ -35,8 +36,10 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 # Any token with a digit in it
 TOKEN = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9]*+[0-9][^\x20\x09-\x0D]*+"
 
+_SPACE, _WORD = r"[\x20\x09-\x0D]", r"[^\x20\x09-\x0D]"
+
 KINDS = ("email", "ip", "card", "phone")
-_SPAN = "struct<kind:string,start:bigint,end:bigint,value:string,left:string>"
+_SPAN = "struct<kind:string,start:bigint,end:bigint,value:string,context:string>"
 
 _BLOCK = 128
 
@@ -62,19 +65,26 @@ def _block_starts(steps: Column) -> Column:
 
 
 def matches(text: Column, pattern: str, kind: str) -> Column:
-    """All matches of ``pattern``, leftmost and non-overlapping, as spans with what stands
-    before them (up to 80 characters). Values and the gaps between them give the offsets."""
+    """All matches of ``pattern``, leftmost and non-overlapping, as spans with their contexts.
+    Values and the gaps between them give the offsets and the text before a span."""
+
+    def before(values: Column, gaps: Column, i: Column) -> Column:
+        near = F.concat(
+            F.when(i > 1, F.concat(F.get(gaps, i - 2), F.get(values, i - 2))).otherwise(""),
+            F.when(i > 0, F.concat(F.get(gaps, i - 1), F.get(values, i - 1))).otherwise(""), F.get(gaps, i),
+        )
+        # two matches before hold two words, unless several matches share a word
+        enough = (i <= 2) | ~F.rlike(F.right(near, F.lit(1)), F.lit(_SPACE)) | F.rlike(F.reverse(near), F.lit(rf"^{_SPACE}++{_WORD}++{_SPACE}++{_WORD}++{_SPACE}"))
+        pieces = F.zip_with(F.slice(gaps, F.lit(1), i), F.slice(values, F.lit(1), i), lambda g, v: F.concat(g, v))
+        return F.when(enough, near).otherwise(F.concat(F.array_join(pieces, ""), F.get(gaps, i)))
 
     def placed(values: Column, gaps: Column, steps: Column, blocks: Column) -> Column:
         def span(value: Column, i: Column) -> Column:
             block = F.floor(i / _BLOCK).cast("int")
-            gap = F.get(gaps, i)
-            start = F.get(blocks, block) + _sum(F.slice(steps, block * _BLOCK + 1, i % _BLOCK)) + F.length(gap)
-            prior = F.when(i > 0, F.right(F.get(values, i - 1), F.lit(80))).otherwise("")
-            left = F.right(F.concat(prior, F.right(gap, F.lit(80))), F.lit(80))
+            start = F.get(blocks, block) + _sum(F.slice(steps, block * _BLOCK + 1, i % _BLOCK)) + F.length(F.get(gaps, i))
             return F.struct(
                 F.lit(kind).alias("kind"), start.alias("start"), (start + F.length(value)).alias("end"),
-                value.alias("value"), left.alias("left"),
+                value.alias("value"), _context(before(values, gaps, i)).alias("context"),
             )
 
         return F.transform(values, span)
@@ -131,8 +141,11 @@ def base_spans(text: Column) -> Column:
 
 
 def _context(left: Column) -> Column:
-    """The two words before a span, if there are two and the span starts a new word."""
-    return F.regexp_extract(left, r"([^\x20\x09-\x0D]+[\x20\x09-\x0D]+[^\x20\x09-\x0D]+)[\x20\x09-\x0D]+$", 1)
+    """The two words before a span, if there are two and the span starts a new word.
+
+    Read backwards, so that the time is linear in the words.
+    """
+    return F.reverse(F.regexp_extract(F.reverse(left), rf"^{_SPACE}++({_WORD}++{_SPACE}++{_WORD}++)", 1))
 
 
 def found_spans(docs: DataFrame) -> DataFrame:
@@ -150,11 +163,11 @@ def found_spans(docs: DataFrame) -> DataFrame:
 
     def free(t: Column) -> Column:
         apart = ~F.exists(F.col("base"), lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"]))
-        return F.length(t["value"]).between(4, 64) & apart
+        return (F.length(t["value"]) >= 4) & apart
 
     def short(s: Column) -> Column:
         return F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"),
-                        s["value"].alias("value"), _context(s["left"]).alias("context"))
+                        s["value"].alias("value"), s["context"].alias("context"))
 
     return rows.select(
         "row_key", "doc_id", F.transform("base", short).alias("base"),
@@ -170,27 +183,31 @@ def learned(found: DataFrame, rounds: int = ROUNDS, confidence: float = CONFIDEN
     """
     spans = found.select(F.explode(F.concat("base", "others")).alias("s")).select("s.*").filter("context <> ''")
     edges = stage(spans.select("kind", "context", "value").distinct(), "pii-edges")
-    seeded = edges.filter("kind <> 'token'")
-    # contexts with too few seeds can never be trusted: they leave the graph at once
-    trusted = seeded.groupBy("context", "kind").agg(F.count("*").alias("seeds")).filter(F.col("seeds") >= seeds)
+    base = edges.filter("kind <> 'token'").groupBy("context", "kind").agg(F.count("*").alias("seeds"))
+    base = stage(base.select("context", "kind", "seeds", F.lit(0.0).alias("sure"), F.lit(0).cast("long").alias("firm")), "pii-contexts")
     tokens = edges.filter("kind = 'token'").select("context", "value")
-    trusted = stage(trusted, "pii-contexts")
-    graph = stage(
-        tokens.join(trusted.select("context", "kind", "seeds"), "context")
-        .withColumn("confidence", F.lit(0.0)), "pii-graph",
-    )
+    sizes = tokens.groupBy("context").agg(F.count("*").alias("tokens"))
+    support, graph = base, None
     for _ in range(rounds):
+        scores = support.filter(F.col("seeds") + F.col("firm") >= seeds).join(sizes, "context").select(
+            "context", "kind", ((F.col("seeds") + F.col("sure")) / (F.col("seeds") + F.col("tokens") + 1)).alias("score")
+        )
+        graph = stage(tokens.join(scores, "context"), "pii-graph")
         if graph.isEmpty():
             break
-        scores = graph.groupBy("context", "kind").agg(
-            (F.first("seeds") + F.sum("confidence")).alias("sure"), (F.first("seeds") + F.count("*") + 1).alias("all")
-        ).select("context", "kind", (F.col("sure") / F.col("all")).alias("score"))
-        scored = graph.drop("confidence").join(scores, ["context", "kind"])
-        sure = scored.groupBy("value", "kind").agg(
+        sure = stage(graph.groupBy("value", "kind").agg(
             (1 - F.exp(F.sum(F.log1p(-F.least("score", F.lit(0.999)))))).alias("confidence")
+        ), "pii-sure")
+        # what was found supports every context it stands in, trusted before or not
+        found_in = tokens.join(sure, "value").groupBy("context", "kind").agg(
+            F.lit(0).cast("long").alias("seeds"), F.sum("confidence").alias("sure"), F.count_if(F.col("confidence") >= confidence).alias("firm")
         )
-        graph = stage(graph.drop("confidence").join(sure, ["value", "kind"]), "pii-graph")
-    best = graph.groupBy("context", "value").agg(F.max_by("kind", F.struct("confidence", "kind")).alias("kind"), F.max("confidence").alias("c"))
+        support = base.unionByName(found_in).groupBy("context", "kind").agg(*[F.sum(c).alias(c) for c in ("seeds", "sure", "firm")])
+    if graph is None or graph.isEmpty():
+        return edges.limit(0).select("context", "value", "kind")
+    best = graph.join(sure, ["value", "kind"]).groupBy("context", "value").agg(
+        F.max_by("kind", F.struct("confidence", "kind")).alias("kind"), F.max("confidence").alias("c")
+    )
     return best.filter(F.col("c") >= confidence).select("context", "value", F.concat(F.lit("context_"), "kind").alias("kind"))
 
 

@@ -53,6 +53,29 @@ def test_contexts_find_other_identifiers(spark):
     assert got[3].startswith("phone:")
 
 
+def test_contexts_are_the_two_words_before(spark):
+    long = "w" * 100
+    cases = {
+        "account no2 id7 5551234": "no2 id7", f"a {long} b 5551234": f"{long} b", "see x1,a@b.co,c@d.co,e@f.co at 5551234": "x1,a@b.co,c@d.co,e@f.co at",
+        "one 5551234": "", "5551234": "", "é1 ñ2  5551234": "é1 ñ2", f"my id {'9' * 90}": "my id",
+    }
+    frame = spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string")
+    got = {r.doc_id: r.others[-1].context for r in found_spans(frame).collect()}
+    assert list(cases.values()) == [got[i] for i in range(len(cases))]
+    mail = spark.createDataFrame([(1, "see x1 a@b.co,c@d.co,e@f.co,g@h.co i@j.co")], "doc_id long, text string")
+    assert found_spans(mail).first().base[-1].context == "x1 a@b.co,c@d.co,e@f.co,g@h.co"
+
+
+def test_found_tokens_bring_in_further_contexts(spark):
+    """No base value stands after 'reach desk', only tokens found after 'call number'."""
+    texts = [f"please call number +1 555 123 4{i:03d} today" for i in range(100)]
+    texts += [f"please call number 77{i:03d}-x now" for i in range(15)] + [f"please reach desk 77{i:03d}-x now" for i in range(15)]
+    texts += ["please reach desk 88000-y now", "please reach door 88000-z now"]
+    found = found_spans(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    got = {r.doc_id: r.spans for r in with_learned(found).select("doc_id", written(F.col("spans")).alias("spans")).collect()}
+    assert got[130] == "context_phone:18:25" and got[131] == ""
+
+
 def test_redaction(spark, docs, rows_of):
     text = "write to a@b.co or +1 555 123 4567, card 4111 1111 1111 1111."
     frame = spark.createDataFrame([(1, text, "x"), (1, None, "y"), (2, "", "z")], "doc_id long, text string, spans string")
