@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from mentionlake.llm.align import op13_alignment
 from mentionlake.llm.bpe import op8_bpe
 from mentionlake.llm.decontaminate import op1_decontaminate
 from mentionlake.llm.fingerprint import op7_fingerprints
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_bpe": op8_bpe,
     "op9_pii": op9_pii,
     "op10_quality_classifier": op10_quality_classifier,
+    "op13_alignment": op13_alignment,
 }
 
 ORACLE: dict[str, str] = {}
