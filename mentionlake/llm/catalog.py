@@ -11,6 +11,7 @@ from mentionlake.llm.near import op3_near_duplicates
 from mentionlake.llm.pii import op9_pii
 from mentionlake.llm.quality import op10_quality_classifier
 from mentionlake.llm.secrets import op4_secrets
+from mentionlake.llm.simhash import op12_simhash
 from mentionlake.llm.substring import op2_substring_dedup
 from mentionlake.llm.toxicity import op6_toxicity
 
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_bpe": op8_bpe,
     "op9_pii": op9_pii,
     "op10_quality_classifier": op10_quality_classifier,
+    "op12_simhash": op12_simhash,
     "op13_alignment": op13_alignment,
 }
 
