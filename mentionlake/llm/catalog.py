@@ -14,6 +14,7 @@ from mentionlake.llm.secrets import op4_secrets
 from mentionlake.llm.simhash import op12_simhash
 from mentionlake.llm.substring import op2_substring_dedup
 from mentionlake.llm.toxicity import op6_toxicity
+from mentionlake.llm.whitening import op11_whitening
 
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_bpe": op8_bpe,
     "op9_pii": op9_pii,
     "op10_quality_classifier": op10_quality_classifier,
+    "op11_whitening": op11_whitening,
     "op12_simhash": op12_simhash,
     "op13_alignment": op13_alignment,
 }

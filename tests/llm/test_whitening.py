@@ -1,0 +1,101 @@
+import numpy as np
+import pytest
+
+from mentionlake.llm.whitening import fit, identity_error, jacobi, op11_whitening, pivoted_cholesky, transform
+
+SHAPE = "vec_id long, embedding array<float>, label int, whitened string, deviation string, n string"
+
+
+def frame(spark, vectors, ids=None):
+    rows = [(i if ids is None else ids[i], None if v is None else [None if x is None else float(x) for x in v], 1, "a", "b", "c") for i, v in enumerate(vectors)]
+    return spark.createDataFrame(rows, SHAPE)
+
+
+def model_of(vectors):
+    """n, exact sums, covariance of whole-numbered vectors, with Python's integers."""
+    x = [[int(np.floor(64 * float(np.float32(c)))) + 1000000 for c in v] for v in vectors]
+    n, sums = len(x), [sum(c) for c in zip(*x)]
+    d = np.array([[n * c - s for c, s in zip(v, sums)] for v in x], object)
+    c = d.astype(float) / n
+    return d, c, c.T @ c / n
+
+
+def check(got, vectors):
+    d, centred, cov = model_of(vectors)
+    values, basis = np.linalg.eigh(cov)
+    values, basis = values[::-1], basis[:, ::-1]
+    by_id = {}
+    for r in got:
+        by_id.setdefault(r.vec_id, {})[r.component] = r
+        assert r.n == len(vectors) and r.deviation == (d[r.vec_id] ** 2).sum()
+        assert abs(r.explained / (values[r.component - 1] / cov.trace()) - 1) < 1e-9 and r.identity_error < 1e-9
+    assert len(by_id) == len(vectors)
+    k = len(by_id[0])
+    assert all(sorted(rows) == list(range(1, k + 1)) for rows in by_id.values())
+    white = np.array([[by_id[i][c].whitened for c in range(1, k + 1)] for i in range(len(vectors))])
+    want = centred @ basis[:, :k] / np.sqrt(values[:k])
+    signs = np.sign((white * want).sum(0))
+    assert np.abs(white - want * signs).max() < 1e-6
+    return k
+
+
+def test_whole_table(spark):
+    folder = "/root/testdata/sf0.001"
+    table = spark.read.parquet(f"{folder}/embeddings.parquet").orderBy("vec_id").collect()
+    assert [r.vec_id for r in table] == list(range(len(table)))
+    assert check(op11_whitening(spark, folder).collect(), [r.embedding for r in table]) == 32
+
+
+def write(spark, table, folder):
+    table.repartition(3).write.parquet(f"{folder}/embeddings.parquet")
+    return op11_whitening(spark, str(folder)).collect()
+
+
+def test_few_rows_and_low_rank(spark, tmp_path):
+    draw = np.random.default_rng(2)
+    low = draw.normal(size=(60, 3)).round(2) @ draw.integers(-3, 4, size=(3, 8))
+    vectors = np.round(low * 64) / 64  # stays on the grid, so its rank stays 3
+    assert check(write(spark, frame(spark, np.floor(vectors)), tmp_path / "a"), np.floor(vectors)) >= 3
+    two = [[0.0, 1.0, 5.0], [1.0, 1.0, 2.0]]
+    assert check(write(spark, frame(spark, two), tmp_path / "b"), two) == 1
+
+
+def test_rows_that_do_not_count(spark, tmp_path):
+    draw = np.random.default_rng(3)
+    good = draw.normal(size=(40, 4)).round(3)
+    bad = [None, [], [1.0, None, 2.0, 3.0], [1.0, float("nan"), 2.0, 3.0], [float("inf")] * 4, [1.0, 2.0], [None] * 4]
+    ids = [*range(40), *range(100, 107)]
+    check(write(spark, frame(spark, [*good, *bad], ids), tmp_path / "a"), good)
+    # repeated rows count, a null id stays
+    twice = frame(spark, [*good, good[0]], [*range(40), None])
+    rows = write(spark, twice, tmp_path / "b")
+    assert {r.n for r in rows} == {41} and sum(r.vec_id is None for r in rows) == 4
+    one, other = ({r.component: r.whitened for r in rows if r.vec_id == i} for i in (None, 0))
+    assert one == other
+
+
+@pytest.mark.parametrize("vectors", [[], [None], [[1.0, 2.0]], [[1.0, 2.0]] * 5])
+def test_nothing_varies(spark, tmp_path, vectors):
+    assert write(spark, frame(spark, vectors), tmp_path) == []
+
+
+def test_entries_beyond_whole_numbers(spark):
+    table = frame(spark, [[1e30, 0.0], [-1e30, 1.0], [0.0, 2.0]])
+    model = fit(table)
+    rows = transform(table, model).collect()
+    assert len(rows) == 3 and rows[0].deviation is None
+    assert identity_error(table, model) < 1e-6
+
+
+def test_factor_and_rotations():
+    draw = np.random.default_rng(4)
+    for d, r in ((7, 7), (12, 5), (1, 1), (64, 64)):
+        m = draw.normal(size=(d, r)) * np.logspace(0, -5, r)
+        a = m @ m.T
+        factor = pivoted_cholesky(a)
+        assert np.abs(factor @ factor.T - a).max() < 1e-12 * max(np.abs(a).max(), 1)
+        values, vectors = jacobi(factor)
+        want = np.linalg.svd(m, compute_uv=False) ** 2
+        k = min(len(values), r)
+        assert np.allclose(values[:k][want[:k] > 1e-9 * want[0]], want[:k][want[:k] > 1e-9 * want[0]], rtol=1e-5)
+        assert np.abs(vectors.T @ vectors - np.eye(vectors.shape[1])).max() < 1e-10
