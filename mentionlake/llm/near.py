@@ -12,16 +12,20 @@ everything below works on classes.
   equal, larger and smaller registers gives the likelihood of every similarity; pairs for
   which the wanted one is out of reach are dropped, the rest verified on full sets.
 * Links make components. Buckets whose members are still in different components are
-  compared member by member, in blocks, on sketches; only members with a plausible
-  partner in another component then meet with their full sets, and each block reports
-  the verified links that join components, not all pairs.
+  compared in blocks, on sketches: members of the bucket's largest component are dealt
+  into parts, all others, the outsiders, meet every part and each other, so that rows are
+  members + outsiders x parts. Only members with a plausible partner in another component
+  then meet with their full sets, and each block reports the verified links that join
+  components, not all pairs.
 
 So every link that shares a bucket is either verified or runs inside one component.
 
 Edge cases: texts without words have an empty set and are linked with nothing; fewer than
 five words make one shingle; equal rows are one class; rows that share a doc_id but not
-their text are linked only as their texts are. Columns other than doc_id and text are
-never read.
+their text are linked only as their texts are. Rows without a doc_id are linked like any
+other and named after the smallest id reachable; a component without any id has a null
+name, all its rows have ``kept``, and ``without_near_duplicates`` leaves one of them.
+Columns other than doc_id and text are never read.
 """
 
 from __future__ import annotations
@@ -35,7 +39,7 @@ from pyspark.sql import functions as F
 
 from mentionlake.llm.arrays import distinct_pairs, mix, shingles, slices, split_words
 from mentionlake.llm.components import components
-from mentionlake.llm.tables import documents, texts_of
+from mentionlake.llm.tables import documents, texts_of, unused
 from mentionlake.staging import stage
 
 PERCENT = 85
@@ -46,7 +50,7 @@ MISS = 1e-6
 _SHIFT = 26
 # A pair stays if the wanted similarity is at most e^12 times less likely than the best.
 SLACK = 12.0
-BLOCK = 512
+BLOCK = 1024
 
 
 def band_rows(percent: int) -> int:
@@ -246,17 +250,17 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
     Links join documents with 100 * common >= percent * union of their shingles.
     """
-    return _decided(docs, percent).drop("row_key")
+    return _decided(docs, percent).drop("row_key", "group")
 
 
 def _decided(docs: DataFrame, percent: int) -> DataFrame:
-    """The rows of ``near_duplicates`` with their ``row_key``."""
+    """The rows of ``near_duplicates`` with their ``row_key`` and the ``group`` they are in."""
     rows = stage(sketched(docs), "near-rows")
     some = rows.filter("n_shingles > 0")
     first = some.groupBy("class").agg(F.min("doc_id").alias("first_doc"))
     classes = stage(
         some.join(first, "class").filter(F.col("doc_id").eqNullSafe(F.col("first_doc")))
-        .dropDuplicates(["class"]).select("class", "first_doc", F.col("n_shingles").alias("n"), "sketch"),
+        .dropDuplicates(["class"]).select("class", "row_key", "first_doc", F.col("n_shingles").alias("n"), "sketch"),
         "near-classes",
     )
     width = band_rows(percent)
@@ -276,8 +280,8 @@ def _decided(docs: DataFrame, percent: int) -> DataFrame:
     stars = shared.filter("class <> centre").select(F.col("class").alias("a"), F.col("centre").alias("b")).distinct()
     likely = stage(_likely_pairs(stars.join(end("b"), "b").join(end("a"), "a"), percent), "near-pairs")
 
-    wanted = shared.select("class").distinct().join(classes.select("class", "first_doc"), "class").select(F.col("first_doc").alias("doc_id"))
-    texts = texts_of(docs).join(stage(wanted.distinct(), "near-wanted").hint("merge"), "doc_id", "left_semi")
+    wanted = shared.select("class").distinct().join(classes.select("class", "row_key"), "class").select("row_key")
+    texts = texts_of(docs).withColumn("row_key", _row_key()).join(stage(wanted, "near-wanted").hint("merge"), "row_key", "left_semi")
     sets = stage(full_sets(texts.select("text")), "near-sets")
     a, b = (sets.select(F.col("class").alias(x), F.col("full").alias(f"full_{x}")) for x in "ab")
     links = stage(_verified(likely.join(b, "b").join(a, "a"), percent).distinct(), "near-links")
@@ -290,28 +294,41 @@ def _decided(docs: DataFrame, percent: int) -> DataFrame:
 
     named = classes.select("class", "first_doc").join(grouped, "class")
     least = named.groupBy("component").agg(F.min("first_doc").alias("least"))
-    names = named.join(least, "component").select("class", "least")
+    names = named.join(least, "component").select("class", "component", "least")
     component = F.when(F.col("n_shingles") > 0, F.coalesce("least", "first_doc")).otherwise(F.col("doc_id"))
     return (
         rows.join(classes.select("class", "first_doc").join(names, "class", "left"), "class", "left")
-        .select("row_key", "doc_id", "n_shingles", component.alias("component_id"))
+        .select("row_key", F.coalesce("component", "class").alias("group"), "doc_id", "n_shingles", component.alias("component_id"))
         .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
     )
 
 
+def _blocks(members: DataFrame) -> DataFrame:
+    """(key, band, i, j, part, class, component): inner parts hold the largest component of a
+    bucket and meet outer parts only; outer parts meet all parts, themselves included."""
+    sizes = members.groupBy("key", "component").agg(F.count("*").alias("n"))
+    mixed = sizes.groupBy("key").agg(
+        F.sum("n").alias("members"), F.max("n").alias("most"), F.max_by("component", F.struct("n", "component")).alias("largest"),
+    ).filter("members > most").select(
+        "key", "largest", F.ceil(F.col("most") / BLOCK).cast("int").alias("inner"),
+        F.ceil((F.col("members") - F.col("most")) / BLOCK).cast("int").alias("outer"),
+    )
+    inside, deal, every = F.col("component") == F.col("largest"), F.xxhash64("class"), F.col("inner") + F.col("outer")
+    part = F.when(inside, F.pmod(deal, F.col("inner"))).otherwise(F.col("inner") + F.pmod(deal, F.col("outer"))).cast("int")
+    other = F.when(inside, F.sequence("inner", every - 1)).otherwise(F.sequence(F.lit(0), every - 1))
+    dealt = members.join(mixed, "key").withColumn("part", part).withColumn("other", F.explode(other))
+    return dealt.select(
+        "key", "band", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "class", "component"
+    )
+
+
 def _links_between(shared: DataFrame, grouped: DataFrame, marks: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links between members of one bucket that the stars left in different components."""
     members = stage(
         shared.select("key", "band", "class").join(grouped, "class", "left")
         .withColumn("component", F.coalesce("component", "class")), "near-members",
     )
-    mixed = members.groupBy("key").agg(
-        F.count("*").alias("members"), F.min("component").alias("low"), F.max("component").alias("high")
-    ).filter("low <> high").select("key", F.ceil(F.col("members") / BLOCK).cast("int").alias("parts"))
-    cut = members.join(mixed, "key").withColumn("part", F.pmod(F.xxhash64("class"), "parts").cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-    blocks = cut.withColumn("other", other).withColumn("i", F.least("part", "other")).withColumn("j", F.greatest("part", "other"))
-    blocks = blocks.drop("other", "parts")
+    blocks = _blocks(members)
     apart = stage(_members_apart(blocks.join(marks, "class"), percent), "near-apart")
     return _joining_links(
         apart.join(grouped, "class", "left").withColumn("component", F.coalesce("component", "class"))
@@ -328,10 +345,15 @@ def without_near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFram
 
     Repeated rows of one document are one document: they stay once.
     """
-    decided = stage(_decided(docs, percent).select("row_key", "kept"), "near-decided")
+    decided = stage(_decided(docs, percent).select("row_key", "group", "component_id", "n_shingles", "kept"), "near-decided")
+    # components without any id: the row of the least key stays
+    nameless = decided.filter("kept AND component_id IS NULL AND n_shingles > 0").select("group", "row_key").distinct()
+    chosen = nameless.groupBy("group").agg(F.min("row_key").alias("chosen"))
+    others = nameless.join(chosen, "group").filter("row_key <> chosen").select("row_key")
     # the dropped rows are the fewer ones to look up; they grow with the documents, so the
     # plan is the same at every size
-    dropped = stage(decided.filter("NOT kept").select(F.col("row_key").alias("_row_key")).distinct(), "near-dropped")
-    left = docs.withColumn("_row_key", _row_key()).join(dropped.hint("merge"), "_row_key", "left_anti")
+    key = unused(docs, "row_key")
+    dropped = decided.filter("NOT kept").select("row_key").unionByName(others).select(F.col("row_key").alias(key))
+    left = docs.withColumn(key, _row_key()).join(stage(dropped.distinct(), "near-dropped").hint("merge"), key, "left_anti")
     repeated = decided.filter("kept").groupBy("row_key").count().filter("count > 1")
-    return (left if repeated.isEmpty() else left.dropDuplicates(["_row_key"])).select(*docs.columns)
+    return (left if repeated.isEmpty() else left.dropDuplicates([key])).select(*docs.columns)

@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-CLASHING = ["label", "score", "key", "class", "component", "sequence", "anchor", "words", "row_key", "own", "n_words", "kept"]
+CLASHING = ["label", "score", "key", "class", "component", "sequence", "anchor", "words", "row_key", "_row_key", "row_key_", "spans", "_spans", "group", "own", "n_words", "kept"]
 
 
 @pytest.fixture(scope="session")

@@ -4,6 +4,7 @@ from itertools import combinations
 
 import numpy as np
 
+from mentionlake.llm import near
 from mentionlake.llm.components import components
 from mentionlake.llm.near import REGISTERS, near_duplicates, plausible, without_near_duplicates
 
@@ -68,6 +69,40 @@ def test_chains(spark):
     assert found(spark.createDataFrame(rows, "doc_id long, text string")) == brute(rows)
 
 
+def test_rows_without_an_id(spark):
+    """A near copy whose only row has no id is linked; of groups without any id one row stays."""
+    draw = random.Random(8)
+    words = [f"w{draw.randrange(10**6)}" for _ in range(300)]
+    other = [f"o{draw.randrange(10**6)}" for _ in range(300)]
+    rows = [(None, words), (5, [*words[:-1], "x"]), (7, ["y", *words[1:]]), (None, other), (None, [*other[:-1], "z"]), (None, ["lone"] * 9)]
+    rows = [(i, " ".join(w)) for i, w in rows]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    assert found(frame) == brute(rows)
+    left = [(r.doc_id, r.text) for r in without_near_duplicates(frame).collect()]
+    assert len(left) == 3 and rows[1] in left and rows[5] in left and (rows[3] in left) != (rows[4] in left)
+
+
+def test_block_rows_grow_with_the_members(spark, monkeypatch):
+    """One large component and 20 outsiders: outsiders meet all parts, members are dealt once."""
+    monkeypatch.setattr(near, "BLOCK", 64)
+    shape, each = "key long, band int, class long, component long", []
+    for size in (600, 1200, 2400):
+        members = spark.createDataFrame([(1, 0, i, 0 if i < size - 20 else i) for i in range(size)], shape)
+        each.append(near._blocks(members).count() / size)
+    assert max(each) < 1.5
+    members = spark.createDataFrame([(1, 0, i, i) for i in range(200)], shape)  # all in components of their own
+    met = set()
+    for block in near._blocks(members).groupBy("i", "j").agg({"class": "collect_list"}).collect():
+        met |= {(a, b) for a in block[2] for b in block[2] if a < b}
+    assert len(met) == 200 * 199 // 2
+
+
+def test_crowded_buckets_in_small_blocks(spark, monkeypatch):
+    monkeypatch.setattr(near, "BLOCK", 16)
+    rows = chained()
+    assert found(spark.createDataFrame(rows, "doc_id long, text string")) == brute(rows)
+
+
 def test_one_of_each_group_stays(docs, rows_of):
     left = without_near_duplicates(docs)
     assert left.columns == docs.columns
