@@ -22,7 +22,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mentionlake.llm.tables import documents
+from mentionlake.llm.tables import documents, unused
 from mentionlake.staging import stage
 
 # Each pattern is followed by the form Java's matcher runs: a start inside a run that
@@ -42,6 +42,9 @@ KINDS = ("email", "ip", "card", "phone")
 _SPAN = "struct<kind:string,start:bigint,end:bigint,value:string,context:string>"
 
 _BLOCK = 128
+# Matches looked back on for two words, where two matches hold less: ever more, so that the
+# time follows the length of the words, not that of the text before them
+_BACK = (8, 64, 512, 4096, 32768)
 
 ROUNDS = 3
 CONFIDENCE = 0.8
@@ -68,15 +71,26 @@ def matches(text: Column, pattern: str, kind: str) -> Column:
     """All matches of ``pattern``, leftmost and non-overlapping, as spans with their contexts.
     Values and the gaps between them give the offsets and the text before a span."""
 
+    def window(values: Column, gaps: Column, i: Column, back: int | None) -> Column:
+        """The text from ``back`` matches before on, or from its start."""
+        first, size = (F.lit(1), i) if back is None else (F.greatest(i - back, F.lit(0)) + 1, F.least(i, F.lit(back)))
+        pieces = F.zip_with(F.slice(gaps, first, size), F.slice(values, first, size), lambda g, v: F.concat(g, v))
+        return F.concat(F.array_join(pieces, ""), F.get(gaps, i))
+
+    def two_words(near: Column) -> Column:
+        return F.rlike(F.reverse(near), F.lit(rf"^{_SPACE}++{_WORD}++{_SPACE}++{_WORD}++{_SPACE}"))
+
     def before(values: Column, gaps: Column, i: Column) -> Column:
         near = F.concat(
             F.when(i > 1, F.concat(F.get(gaps, i - 2), F.get(values, i - 2))).otherwise(""),
             F.when(i > 0, F.concat(F.get(gaps, i - 1), F.get(values, i - 1))).otherwise(""), F.get(gaps, i),
         )
         # two matches before hold two words, unless several matches share a word
-        enough = (i <= 2) | ~F.rlike(F.right(near, F.lit(1)), F.lit(_SPACE)) | F.rlike(F.reverse(near), F.lit(rf"^{_SPACE}++{_WORD}++{_SPACE}++{_WORD}++{_SPACE}"))
-        pieces = F.zip_with(F.slice(gaps, F.lit(1), i), F.slice(values, F.lit(1), i), lambda g, v: F.concat(g, v))
-        return F.when(enough, near).otherwise(F.concat(F.array_join(pieces, ""), F.get(gaps, i)))
+        enough = (i <= 2) | ~F.rlike(F.right(near, F.lit(1)), F.lit(_SPACE)) | two_words(near)
+        wider = F.when(enough, near)
+        for back in _BACK:
+            wider = wider.when(two_words(window(values, gaps, i, back)), window(values, gaps, i, back))
+        return wider.otherwise(window(values, gaps, i, None))
 
     def placed(values: Column, gaps: Column, steps: Column, blocks: Column) -> Column:
         def span(value: Column, i: Column) -> Column:
@@ -250,15 +264,16 @@ def redact(docs: DataFrame) -> DataFrame:
     spans = with_learned(found).filter(F.size("spans") > F.size("base")).select("row_key", "spans").dropDuplicates(["row_key"])
     names = docs.columns
     text = F.coalesce(F.col("text"), F.lit(""))
-    keyed = docs.withColumn("_row_key", F.xxhash64(F.col("doc_id").cast("long"), text))
+    key, held = unused(docs, "row_key"), unused(docs, "spans")
+    keyed = docs.withColumn(key, F.xxhash64(F.col("doc_id").cast("long"), text))
     # written first: its size is known, and a table without learned spans costs no shuffle
-    marked = stage(spans.withColumnRenamed("row_key", "_row_key").withColumnRenamed("spans", "_spans"), "pii-marked")
-    joined = keyed if marked.isEmpty() else keyed.join(marked, "_row_key", "left")
-    if "_spans" not in joined.columns:
-        joined = joined.withColumn("_spans", F.lit(None).cast("array<struct<kind:string,start:bigint,end:bigint>>"))
+    marked = stage(spans.select(F.col("row_key").alias(key), F.col("spans").alias(held)), "pii-marked")
+    joined = keyed if marked.isEmpty() else keyed.join(marked, key, "left")
+    if held not in joined.columns:
+        joined = joined.withColumn(held, F.lit(None).cast("array<struct<kind:string,start:bigint,end:bigint>>"))
     base = F.transform(base_spans(F.col("text")), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))
-    more = F.transform("_spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))
-    joined = joined.withColumn("_spans", F.array_sort(F.coalesce(more, base)))
+    more = F.transform(held, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))
+    joined = joined.withColumn(held, F.array_sort(F.coalesce(more, base)))
 
     def step(acc: Column, s: Column) -> Column:
         gap = F.substring(F.col("text"), (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int"))
@@ -270,8 +285,8 @@ def redact(docs: DataFrame) -> DataFrame:
 
     start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<string>").alias("out"))
     clean = F.aggregate(
-        F.col("_spans"), start, step,
+        F.col(held), start, step,
         lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(F.col("text"), (acc["at"] + 1).cast("int"), F.length("text"))),
     )
-    changed = F.when(F.size("_spans") > 0, clean).otherwise(F.col("text"))
+    changed = F.when(F.size(held) > 0, clean).otherwise(F.col("text"))
     return joined.withColumn("text", changed).select(*names)

@@ -92,3 +92,20 @@ def test_no_rows(no_docs):
 
 def test_digest(spark):
     assert hashlib.sha256(b"").hexdigest() == spark.range(1).select(F.sha2(written(F.array().cast("array<struct<kind:string,start:bigint,end:bigint>>")), 256)).first()[0]
+
+
+def test_words_of_many_matches(spark):
+    """Contexts reach back over words that hold any number of matches."""
+    rows = []
+    for k, size in enumerate((1, 2, 5, 9, 70)):
+        word = ",".join(f"u{i}@h{k}.co" for i in range(size))
+        rows.append((k, f"start here {word} then {word} {word} {word} end"))
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    for row in found_spans(frame).collect():
+        text = dict(rows)[row.doc_id]
+        spans = [s for s in row.base if s.kind == "email"]
+        assert [s.value for s in spans] == [text[s.start : s.end] for s in spans] and len(spans) == text.count("@")
+        for s in spans:
+            before = text[: s.start]
+            words = before.split()
+            assert s.context == (re.search(r"\S+\s+\S+$", before.rstrip())[0] if before.endswith(" ") and len(words) > 1 else "")
