@@ -64,6 +64,24 @@ a7f1-a7f1 ab6c-ab6d 107bb-107bf 10940-10959 10ec5-10ec7 10ed9-10eee 11b0a-11b0a
 """
 
 
+# Capitals that the tokenizers library's Unicode has and Python's has not:
+# first and last code point, and the lower-case letter of the first.
+CAPITALS = """
+1c89-1c89 1c8a, a7cb-a7cb 264, a7cc-a7cc a7cd, a7ce-a7ce a7cf, a7d2-a7d2 a7d3, a7d4-a7d4 a7d5, a7da-a7da a7db, a7dc-a7dc 19b,
+10d50-10d65 10d70, 16ea0-16eb8 16ebb
+"""
+
+
+def newer_capitals() -> dict[int, int]:
+    """Code points of those capitals, each with that of its lower-case letter."""
+    out = {}
+    for entry in CAPITALS.split(","):
+        span, low = entry.split()
+        first, last = (int(x, 16) for x in span.split("-"))
+        out.update(zip(range(first, last + 1), range(int(low, 16), int(low, 16) + last - first + 1)))
+    return out
+
+
 def newer_signs() -> list[tuple[str, str]]:
     return [tuple(chr(int(x, 16)) for x in r.split("-")) for r in NEWER.split()]
 
@@ -167,6 +185,8 @@ class Encoder:
         self.newer = {chr(c) for a, b in v.newer for c in range(ord(a), ord(b) + 1)}
         older = v.cut.replace(r"\p{L}", f"[\\p{{L}}--[{ranges}]]").replace(r"\p{N}", f"[\\p{{N}}--[{ranges}]]")
         self.older_cut = regex.compile(older, regex.V1)
+        self.capitals = newer_capitals()
+        self.capital = frozenset(map(chr, self.capitals))
         self.space = regex.compile(r"\s+")
         self.marks = regex.compile("|".join(map(regex.escape, v.special)))
         self.known: dict[str, np.ndarray] = {}
@@ -183,6 +203,8 @@ class Encoder:
 
     def _plain(self, text: str) -> list[str]:
         text = self.space.sub(" ", unicodedata.normalize("NFC", text))
+        if not text.isascii() and not self.capital.isdisjoint(text):
+            text = text.translate(self.capitals)
         # letter by letter, as a final sigma is no exception here
         text = text.lower() if text.isascii() or "Σ" not in text else "".join(map(str.lower, text))
         if text.isascii() or self.newer.isdisjoint(text):

@@ -4,7 +4,7 @@ import random
 import numpy as np
 from tokenizers import Tokenizer
 
-from mentionlake.llm.bpe import digests, encoded, vocabulary_path
+from mentionlake.llm.bpe import Encoder, Vocabulary, digests, encoded, vocabulary_path
 
 ODD = [
     "", "   ", "aaaaaaa aaaa", "<|endoftext|>x<|startoftext|>", "I'M don't 'sxx 123 ½ ΑΣ ΣΑΣ. İstanbul ﬁ é K​　x", "🙂🙂🙂!!!???",
@@ -29,5 +29,14 @@ def test_same_ids_and_decoded_text_as_the_library(spark, rows_of, docs):
         assert r.decoded_sha256 == hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest()
 
 
+def test_every_capital():
+    library, encoder = Tokenizer.from_file(vocabulary_path()), Encoder(Vocabulary.read(vocabulary_path()))
+    signs = [c for c in range(0x110000) if c in encoder.capitals or chr(c).lower() != chr(c)]
+    texts = [f"a{chr(c)} {chr(c)}b1{chr(c)}" for c in signs if not 0xD800 <= c < 0xE000]
+    assert len(encoder.capitals) == 55
+    for text, want, got in zip(texts, library.encode_batch(texts, add_special_tokens=False), encoder.encode(texts)):
+        assert got.tolist() == want.ids, ascii(text)
+
+
 def test_no_rows(no_docs):
     assert digests(no_docs).count() == 0
