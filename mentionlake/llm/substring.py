@@ -225,7 +225,7 @@ def _anchor_rows(docs: DataFrame, with_ids: bool) -> DataFrame:
                     )
                 elif len(keys):
                     at = np.flatnonzero(new)
-                    texts = (sequence_names(words) >> np.uint64(24)).astype(np.int64)[rows]
+                    texts = sequence_names(words).view(np.int64)[rows]
                     yield pa.RecordBatch.from_arrays([
                         pa.array(keys[at].view(np.int64)), pa.array(np.minimum.reduceat(texts, at)), pa.array(np.maximum.reduceat(texts, at)),
                     ], ["anchor", "least", "most"])
