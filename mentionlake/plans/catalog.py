@@ -35,6 +35,7 @@ from mentionlake.sources.messages import (
 from mentionlake.sources.tables import read_table
 from mentionlake.sources.vector_table import lookup, merge_payload, missing, upsert, with_point_ids
 from mentionlake.staging import new_path, stage
+from mentionlake.streaming.alerts import StreamingAlerts
 from mentionlake.streaming.monitor import StreamingMonitor
 
 # The brand settings of each language's project.
@@ -232,7 +233,8 @@ def simhash_bucket_members(spark, sf):
 
 
 def near_dup_pairs(spark, sf):
-    nodes = stage(first_posts(_prints(spark, sf)), "first-posts")
+    prints = stage(_prints(spark, sf), "prints")
+    nodes = stage(first_posts(prints), "first-posts")
     pairs = near_pairs(nodes.select("scope", "fp"))
     ends = nodes.select("fp", "post_id")
     near = ordered_edges(pairs, nodes).select(
@@ -241,7 +243,7 @@ def near_dup_pairs(spark, sf):
         ends.select(F.col("fp").alias("late"), F.col("post_id").alias("late_post")), "late"
     ).select("early_post", "late_post", "distance")
     # equal fingerprints: one row per copy and its first post, not all pairs of copies
-    copies = _prints(spark, sf).join(ends.select(F.col("fp").alias("simhash"), F.col("post_id").alias("early_post")), "simhash")
+    copies = prints.join(ends.select(F.col("fp").alias("simhash"), F.col("post_id").alias("early_post")), "simhash")
     copies = copies.filter("post_id <> early_post").select("early_post", F.col("post_id").alias("late_post"), F.lit(0).alias("distance"))
     return near.unionByName(copies)
 
@@ -513,6 +515,24 @@ def streaming_results(spark, sf):
     )
 
 
+def streaming_alerts(spark, sf):
+    """The events as a stream in order of time, in four ranges and a last event that closes all windows."""
+    folder, batches = new_path(spark, "stream"), 4
+    source = events(spark, sf).select(F.col("event_type").alias("projectId"), "ts")
+    first, last = source.agg(F.min(F.unix_micros("ts")), F.max(F.unix_micros("ts"))).first()
+    first, last = first or 0, last or 0
+    files = spark.sparkContext.defaultParallelism
+    place = F.floor((F.unix_micros("ts") - first) * batches / (last + 1 - first))
+    for k in range(batches):
+        source.filter(place == k).repartition(files).write.mode("append").parquet(f"{folder}/in")
+    end = F.timestamp_micros(F.lit(last + 10 * WINDOW * 1_000_000))
+    spark.range(1).select(F.lit("end").alias("projectId"), end.alias("ts")).write.mode("append").parquet(f"{folder}/in")
+    stream = spark.readStream.schema("projectId string, ts timestamp").option("maxFilesPerTrigger", files)
+    alerts = StreamingAlerts(spark, f"{folder}/state", WINDOW, SPIKE, COOLDOWN)
+    alerts.start(stream.parquet(f"{folder}/in"), f"{WINDOW} seconds", f"{folder}/checkpoint").awaitTermination()
+    return alerts.read_alerts().select("projectId", F.unix_seconds("window_start").alias("window_epoch"), "n")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "brand_monitor": brand_monitor,
     "split_batch": split_batch,
@@ -562,4 +582,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "spike_alerts": spike_alerts_query,
     "health": health_query,
     "streaming_results": streaming_results,
+    "streaming_alerts": streaming_alerts,
 }

@@ -437,3 +437,4 @@ ORACLE: dict[str, str] = {
 ORACLE["dead_letter"] = _with("posts") + f"""
     SELECT 'intake' AS _stage, {_damage()} AS _error, count(*) AS n FROM posts
     WHERE {_damage()} IS NOT NULL GROUP BY 2"""
+ORACLE["streaming_alerts"] = ORACLE["spike_alerts"]
