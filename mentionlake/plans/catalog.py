@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,7 +17,7 @@ from mentionlake.operators.cluster import assign_clusters, cluster_meta
 from mentionlake.operators.dedup import drop_near_duplicates, first_posts, ordered_edges
 from mentionlake.operators.embed import HashedEmbedder, embed
 from mentionlake.operators.knn import similar_posts, similar_to
-from mentionlake.operators.lemma import lemmatize_terms, lemmatize_texts
+from mentionlake.operators.lemma import build_dictionary, clean_dictionary, lemmatize_terms, lemmatize_texts
 from mentionlake.operators.neardup import near_pairs
 from mentionlake.operators.prefilter import mark, prefilter
 from mentionlake.operators.relevancy import keyword_sets, score_relevancy
@@ -33,7 +34,7 @@ from mentionlake.sources.messages import (
     accepted, check_batches, check_ids, check_posts, dead_letters, from_messages, stream_lines, to_messages,
 )
 from mentionlake.sources.tables import read_table
-from mentionlake.sources.vector_table import lookup, merge_payload, missing, upsert, with_point_ids
+from mentionlake.sources.vector_table import lookup, merge_payload, missing, payload, upsert, with_point_ids
 from mentionlake.staging import new_path, stage
 from mentionlake.streaming.alerts import StreamingAlerts
 from mentionlake.streaming.monitor import StreamingMonitor
@@ -209,6 +210,13 @@ def lemmatize_text(spark, sf):
     return lemmatize_texts(posts(spark, sf), dictionary(spark, sf), "content")
 
 
+def lemma_plugin(spark, sf):
+    """The rule of ``dictionary`` plugged in as an analyser that sees each token once."""
+    ending = re.compile(SUFFIX)
+    built = build_dictionary(posts(spark, sf), F.col("content"), lambda t: ending.sub("", t) if len(t) > 5 else t)
+    return lemmatize_texts(posts(spark, sf), clean_dictionary(stage(built, "analysed")), "content")
+
+
 def lemmatize_keyword(spark, sf):
     terms = read_table(spark, sf, "benchmark").select(F.explode(words(F.col("text"))).alias("term")).distinct()
     return lemmatize_terms(terms, dictionary(spark, sf))
@@ -289,6 +297,20 @@ def point_id(spark, sf):
     return with_point_ids(posts(spark, sf).withColumn("raw_id", F.col("post_id"))).select("raw_id", "qdrant_point_id")
 
 
+def stored_payload(spark, sf):
+    """What is stored next to a vector, a field that no operator knows included."""
+    arrived = posts(spark, sf).withColumn("raw_id", F.col("post_id")).withColumn("desk", F.concat(F.lit("desk "), "type"))
+    stored = payload(with_point_ids(arrived.withColumn("embedding", F.array(F.lit(0.0)))))
+    return stored.select("post_id", *[c for c in stored.columns if c not in ("post_id", "keywords", "exclusions", "arrival", "timestamp")])
+
+
+def embedding_cells(spark, sf):
+    """One row per post: the width of its vector and how many cells are filled, none without tokens."""
+    embedded = embed(posts(spark, sf), HashedEmbedder(PARAMS.dim))
+    filled = F.size(F.filter("embedding", lambda x: x != 0))
+    return embedded.select("post_id", F.size("embedding").alias("dim"), filled.alias("non_zero"))
+
+
 def hashed_embedding(spark, sf):
     embedded = embed(posts(spark, sf), HashedEmbedder(PARAMS.dim))
     # the outer form, as the inner one would run the embedding once more to look for empty arrays
@@ -546,6 +568,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "prefilter_no_keywords": prefilter_no_keywords,
     "prefilter_lemma": prefilter_lemma,
     "lemmatize_text": lemmatize_text,
+    "lemma_plugin": lemma_plugin,
     "lemmatize_keyword": lemmatize_keyword,
     "simhash": simhash,
     "simhash_buckets": simhash_buckets,
@@ -556,7 +579,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "dedup_scoped": dedup_scoped,
     "bucket_ttl": bucket_ttl,
     "point_id": point_id,
+    "stored_payload": stored_payload,
     "hashed_embedding": hashed_embedding,
+    "embedding_cells": embedding_cells,
     "blank_embedding": blank_embedding,
     "vector_upsert": vector_upsert,
     "payload_merge": payload_merge,

@@ -360,6 +360,12 @@ ORACLE: dict[str, str] = {
         FROM (SELECT *, max(session) OVER (PARTITION BY user_id) AS current FROM sessions)
         WHERE session = current AND epoch_us(TIMESTAMP '2024-01-31 00:00:00') - epoch_us(last_ts) < {_TTL}""",
     "point_id": _with("posts") + f"SELECT post_id AS raw_id, {_uuid5('post_id')} AS qdrant_point_id FROM posts",
+    "stored_payload": _with("posts") + f"""
+        SELECT {_uuid5('post_id')} AS post_id, "projectId", title, content, type, url_string, seq, post_id AS raw_id,
+               concat('desk ', type) AS desk FROM posts""",
+    "embedding_cells": _with("posts", "cells") + f"""
+        SELECT p.post_id, {PARAMS.dim}::INT AS dim, count(c.cell)::INT AS non_zero
+        FROM posts p LEFT JOIN cells c ON c.seq = p.seq GROUP BY p.post_id""",
     "hashed_embedding": _with("cells") + """
         SELECT seq::VARCHAR AS post_id, cell, round(value::DOUBLE, 6) AS value FROM cells""",
     "blank_embedding": "WITH talk AS (SELECT *, concat(conv_id, '-', turn) AS k, CASE WHEN role = 'user' THEN '' ELSE text END AS t "
@@ -438,3 +444,4 @@ ORACLE["dead_letter"] = _with("posts") + f"""
     SELECT 'intake' AS _stage, {_damage()} AS _error, count(*) AS n FROM posts
     WHERE {_damage()} IS NOT NULL GROUP BY 2"""
 ORACLE["streaming_alerts"] = ORACLE["spike_alerts"]
+ORACLE["lemma_plugin"] = ORACLE["lemmatize_text"]
