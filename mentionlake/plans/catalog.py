@@ -37,6 +37,7 @@ from mentionlake.sources.tables import read_table
 from mentionlake.sources.vector_table import lookup, merge_payload, missing, payload, upsert, with_point_ids
 from mentionlake.staging import new_path, stage
 from mentionlake.streaming.alerts import StreamingAlerts
+from mentionlake.streaming.keyed import BucketStore, ClusterStats
 from mentionlake.streaming.monitor import StreamingMonitor
 
 # The brand settings of each language's project.
@@ -54,6 +55,7 @@ PARAMS = Params(similarity_threshold=0.35)
 SUFFIX = "(tion|ing|ed|es|er|en)$"
 WINDOW, SPIKE, COOLDOWN = 3600, 5, 6 * 3600
 BATCH = 16
+NOW = 1706659200  # 2024-01-31
 
 
 def _per_language(values: dict[str, list[str]]) -> Column:
@@ -285,8 +287,7 @@ def bucket_ttl(spark, sf):
         (F.col("user_id") % 4).cast("int").alias("bucket_idx"), F.col("user_id").alias("fragment"),
         F.col("event_id").alias("fp"), F.col("ts").alias("added_at"),
     )
-    now = F.timestamp_seconds(F.lit(1706659200))  # 2024-01-31
-    return visible_members(adds, now, PARAMS.ttl_seconds, ("bucket_idx", "fragment")).select(
+    return visible_members(adds, F.timestamp_seconds(F.lit(NOW)), PARAMS.ttl_seconds, ("bucket_idx", "fragment")).select(
         "fragment", "fp", bucket_key(F.col("bucket_idx"), F.col("fragment")).alias("bucket")
     )
 
@@ -427,12 +428,15 @@ def cluster_rollup(spark, sf):
     )
 
 
-def ttl_sessions(spark, sf):
-    assigned = events(spark, sf).select(
+def _assigned(events_: DataFrame) -> DataFrame:
+    return events_.select(
         F.concat(F.lit("cluster-"), F.col("user_id")).alias("cluster_id"), "ts", F.col("event_id").alias("seq"),
         F.col("event_id").cast("string").alias("post_id"), F.col("value").alias("similarity_score"),
     )
-    return meta_sessions(assigned, PARAMS.ttl_seconds)
+
+
+def ttl_sessions(spark, sf):
+    return meta_sessions(_assigned(events(spark, sf)), PARAMS.ttl_seconds)
 
 
 # -- tone and output ------------------------------------------------------------------
@@ -537,24 +541,53 @@ def streaming_results(spark, sf):
     )
 
 
-def streaming_alerts(spark, sf):
-    """The events as a stream in order of time, in four ranges and a last event that closes all windows."""
-    folder, batches = new_path(spark, "stream"), 4
-    source = events(spark, sf).select(F.col("event_type").alias("projectId"), "ts")
+def _events_in_order(source: DataFrame, folder: str, batches: int = 4) -> DataFrame:
+    """Rows with a time ``ts`` as a stream in ``batches`` ranges of time, one per micro-batch."""
+    spark = source.sparkSession
     first, last = source.agg(F.min(F.unix_micros("ts")), F.max(F.unix_micros("ts"))).first()
     first, last = first or 0, last or 0
     files = spark.sparkContext.defaultParallelism
     place = F.floor((F.unix_micros("ts") - first) * batches / (last + 1 - first))
     for k in range(batches):
         source.filter(place == k).repartition(files).write.mode("append").parquet(f"{folder}/in")
-    end = F.timestamp_micros(F.lit(last + 10 * WINDOW * 1_000_000))
-    spark.range(1).select(F.lit("end").alias("projectId"), end.alias("ts")).write.mode("append").parquet(f"{folder}/in")
-    stream = spark.readStream.schema("projectId string, ts timestamp").option("maxFilesPerTrigger", files)
+    return spark.readStream.schema(source.schema).option("maxFilesPerTrigger", files).parquet(f"{folder}/in")
+
+
+def streaming_alerts(spark, sf):
+    """The events as a stream in order of time, and a last event that closes all windows."""
+    folder = new_path(spark, "stream")
+    source = events(spark, sf).select(F.col("event_type").alias("projectId"), "ts")
+    stream = _events_in_order(source, folder)
+    end = source.agg(F.timestamp_micros(F.max(F.unix_micros("ts")) + 10 * WINDOW * 1_000_000).alias("ts"))
+    end.select(F.lit("end").alias("projectId"), "ts").write.mode("append").parquet(f"{folder}/in")
     alerts = StreamingAlerts(spark, f"{folder}/state", WINDOW, SPIKE, COOLDOWN)
-    alerts.start(stream.parquet(f"{folder}/in"), f"{WINDOW} seconds", f"{folder}/checkpoint").awaitTermination()
+    alerts.start(stream, f"{WINDOW} seconds", f"{folder}/checkpoint").awaitTermination()
     return alerts.read_alerts().select("projectId", F.unix_seconds("window_start").alias("window_epoch"), "n")
 
 
+def streaming_bucket_ttl(spark, sf):
+    """``bucket_ttl`` with the adds as a stream and one row of state per bucket."""
+    folder = new_path(spark, "stream")
+    stream = _events_in_order(events(spark, sf), folder).select(
+        (F.col("user_id") % 4).cast("int").alias("bucket_idx"), F.col("user_id").alias("fragment"),
+        F.col("event_id").alias("fp"), F.col("ts").alias("added_at"),
+    )
+    store = BucketStore(spark, f"{folder}/state", "bucket_idx int, fragment bigint", "fp bigint", PARAMS.ttl_seconds)
+    store.start(stream, f"{folder}/checkpoint").awaitTermination()
+    return store.visible(F.timestamp_seconds(F.lit(NOW))).select(
+        "fragment", "fp", bucket_key(F.col("bucket_idx"), F.col("fragment")).alias("bucket")
+    )
+
+
+def streaming_cluster_meta(spark, sf):
+    """``ttl_sessions`` with the assignments as a stream and one row of state per cluster."""
+    folder = new_path(spark, "stream")
+    stats = ClusterStats(spark, f"{folder}/state", PARAMS.ttl_seconds)
+    stream = _assigned(_events_in_order(events(spark, sf), folder))
+    stats.start(stream, f"{folder}/checkpoint").awaitTermination()
+    return stats.read()
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "brand_monitor": brand_monitor,
     "split_batch": split_batch,
@@ -608,4 +641,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "health": health_query,
     "streaming_results": streaming_results,
     "streaming_alerts": streaming_alerts,
+    "streaming_bucket_ttl": streaming_bucket_ttl,
+    "streaming_cluster_meta": streaming_cluster_meta,
 }

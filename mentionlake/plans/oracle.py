@@ -445,3 +445,5 @@ ORACLE["dead_letter"] = _with("posts") + f"""
     WHERE {_damage()} IS NOT NULL GROUP BY 2"""
 ORACLE["streaming_alerts"] = ORACLE["spike_alerts"]
 ORACLE["lemma_plugin"] = ORACLE["lemmatize_text"]
+ORACLE["streaming_bucket_ttl"] = ORACLE["bucket_ttl"]
+ORACLE["streaming_cluster_meta"] = ORACLE["ttl_sessions"]

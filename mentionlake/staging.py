@@ -54,7 +54,7 @@ def scratch(spark: SparkSession) -> Iterator[None]:
         yield
     finally:
         _scratch.reset(mark)
-        _delete(spark, folder)
+        delete(spark, folder)
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
@@ -76,10 +76,11 @@ def stage_counted(
 
 def release(spark: SparkSession) -> None:
     """Delete what this application staged; call it when its results are written."""
-    _delete(spark, f"{shared_folder(spark)}/mentionlake/{spark.sparkContext.applicationId}")
+    delete(spark, f"{shared_folder(spark)}/mentionlake/{spark.sparkContext.applicationId}")
 
 
-def _delete(spark: SparkSession, folder: str) -> None:
+def delete(spark: SparkSession, folder: str) -> None:
+    """Delete ``folder`` and all below it, if it exists."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
     fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     fs.delete(path, True)
