@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from mentionlake.staging import stage, stage_counted
+
 
 def window_counts(posts: DataFrame, window_seconds: int, ts: str = "ts", project: str = "projectId") -> DataFrame:
     """Posts per project and tumbling window; works on streams with a watermark too."""
@@ -20,23 +21,45 @@ def cool_down(
 ) -> DataFrame:
     """Drop spikes less than the cool-down after the last alert of their project.
 
-    ``last``: (project, window_start) of alerts fired before. A project has one row per
-    window at most, so a group grows with the time covered, not with the posts.
+    ``last``: (project, window_start) of alerts fired before; spikes come after them.
+    ``spikes`` has one row per project and window.
+
+    Whichever spikes fired before, one that follows a gap of the cool-down fires: it begins
+    a run. In a run every spike points to the next that may fire after it, and the spikes
+    that fire are those reached from the first. They are marked by doubling the pointers,
+    so rounds grow with the logarithm of the longest run.
     """
-    rows = spikes.withColumn("_fired", F.lit(False))
+    step = max(cooldown_seconds * 1_000_000, 1)
+    rows = spikes.withColumn("_at", F.unix_micros("window_start"))
     if last is not None:
-        rows = rows.unionByName(last.withColumn("_fired", F.lit(True)), allowMissingColumns=True)
-
-    def choose(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("window_start")
-        picked, before = [], None
-        for at, fired in zip(group["window_start"], group["_fired"]):
-            fire = before is None or (at - before).total_seconds() >= cooldown_seconds
-            picked.append(fire and not fired)
-            before = at if fire or fired else before
-        return group[picked].drop(columns="_fired")
-
-    return rows.groupBy(project).applyInPandas(choose, spikes.schema)
+        before = last.select(F.col(project).alias("_p"), F.unix_micros("window_start").alias("_last"))
+        rows = rows.join(before, F.col(project).eqNullSafe(F.col("_p")), "left").filter(
+            F.col("_last").isNull() | (F.col("_at") - F.col("_last") >= step)
+        ).drop("_p", "_last")
+    rows = stage(rows, "spikes")
+
+    in_time = Window.partitionBy("p").orderBy("at")
+    begins = F.coalesce(F.col("at") - F.lag("at").over(in_time) >= step, F.lit(True))
+    runs = rows.select(F.col(project).alias("p"), F.col("_at").alias("at")).withColumn("fires", begins).withColumn(
+        "run", F.sum(F.col("fires").cast("int")).over(in_time)
+    )
+    # from the latest on, so that the frame only grows; a preceding row is a later spike
+    later = Window.partitionBy("p", "run").orderBy(F.col("at").desc()).rangeBetween(Window.unboundedPreceding, -step)
+    marked, moving = stage_counted(
+        runs.withColumn("to", F.min("at").over(later)).drop("run"), "pointers", F.col("to")
+    )
+    while moving:
+        onward = marked.select(F.col("p").alias("p2"), F.col("at").alias("at2"), F.col("to").alias("further"))
+        hits = marked.filter("fires AND to IS NOT NULL").select(F.col("p").alias("p3"), F.col("to").alias("hit"))
+        doubled = marked.join(onward, F.col("p").eqNullSafe(F.col("p2")) & (F.col("to") == F.col("at2")), "left")
+        doubled = doubled.join(hits, F.col("p").eqNullSafe(F.col("p3")) & (F.col("at") == F.col("hit")), "left")
+        marked, moving = stage_counted(
+            doubled.select("p", "at", (F.col("fires") | F.col("hit").isNotNull()).alias("fires"), F.col("further").alias("to")),
+            "pointers", F.col("to"),
+        )
+    fired = marked.filter("fires").select("p", "at")
+    on = F.col(project).eqNullSafe(F.col("p")) & (F.col("_at") == F.col("at"))
+    return rows.join(fired, on, "left_semi").select(*spikes.columns)
 
 
 def spike_alerts(

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from mentionlake.operators.alerts import cool_down, window_counts
+from mentionlake.staging import scratch
 from mentionlake.streaming.state import BatchTable
 
 
@@ -22,6 +23,10 @@ class StreamingAlerts:
         self.alerts = BatchTable(spark, f"{folder.rstrip('/')}/alerts", "projectId string, window_start timestamp, n bigint")
 
     def process(self, counts: DataFrame, batch: int) -> None:
+        with scratch(self.alerts.spark):
+            self._process(counts, batch)
+
+    def _process(self, counts: DataFrame, batch: int) -> None:
         spikes = counts.filter(F.col("n") >= self.threshold).select("projectId", "window_start", "n")
         last = None
         if not self.alerts.empty(batch):

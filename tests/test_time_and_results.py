@@ -3,7 +3,7 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
-from mentionlake.operators.alerts import spike_alerts
+from mentionlake.operators.alerts import cool_down, spike_alerts
 from mentionlake.operators.results import (
     display_results, flatten_results, format_results, negative_feed, receive_stats, roll_up, with_latency, write_results,
 )
@@ -49,6 +49,28 @@ def test_spikes_cool_down(spark):
     assert sorted((r.projectId, r.window_start, r.n) for r in got) == [("p", at(0), 3), ("p", at(2), 2)]
 
 
+def test_spikes_like_a_walk_in_time(spark):
+    rng, schema = random.Random(4), "projectId string, window_start timestamp, n long"
+    for cool in (0, 3600, 5 * 3600):
+        hours = {p: sorted(rng.sample(range(300), 120)) for p in ("p", "q", None)}
+        last = {"p": 20, "r": 3}
+        want = set()
+        for p, hs in hours.items():
+            before = last.get(p)
+            for h in hs:
+                if before is not None and h <= before:
+                    continue
+                if before is None or (h - before) * 3600 >= cool:
+                    want.add((p, at(h)))
+                    before = h
+        rows = [(p, at(h), 1) for p, hs in hours.items() for h in hs if h > last.get(p, -1)]
+        fired = spark.createDataFrame([(p, at(h)) for p, h in last.items()], "projectId string, window_start timestamp")
+        got = cool_down(spark.createDataFrame(rows, schema), cool, last=fired)
+        assert "InPandas" not in got._jdf.queryExecution().toString()
+        assert {(r.projectId, r.window_start) for r in got.collect()} == want
+    assert cool_down(spark.createDataFrame([], schema), 60).count() == 0
+
+
 POST = "post_id string, seq long, cluster_id string, projectId string, title string, content string, type string, url_string string, relevancy int, tone string"
 
 
