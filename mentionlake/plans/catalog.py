@@ -26,6 +26,7 @@ from mentionlake.operators.results import (
 )
 from mentionlake.operators.simhash import bucket_members, bucket_rows, fingerprints
 from mentionlake.operators.split import split_batches, with_exclusions
+from mentionlake.operators.terms import mark_terms
 from mentionlake.operators.tone import with_tone
 from mentionlake.operators.ttl import meta_sessions, visible_members
 from mentionlake.params import Params
@@ -208,6 +209,17 @@ def prefilter_lemma(spark, sf):
     return prefilter(p, dictionary(spark, sf)).select("post_id", "projectId")
 
 
+def prefilter_many(spark, sf):
+    """Every word of the benchmark as a keyword of every project, its own exclusions included."""
+    found = read_table(spark, sf, "benchmark").select(F.explode(words(F.lower(F.col("text")))).alias("word")).distinct()
+    whole = found.agg(F.collect_set("word").alias("keywords")).withColumn("one", F.lit(1))
+    # one row of settings per project, all with the same keywords
+    projects = posts(spark, sf).select("projectId", "exclusions", F.lit(1).alias("one")).distinct()
+    lists = projects.join(whole, "one").drop("one")
+    marked = mark_terms(posts(spark, sf), stage(lists, "lists"))
+    return marked.filter("_pass").select("post_id", "projectId", "keywords_found")
+
+
 def lemmatize_text(spark, sf):
     return lemmatize_texts(posts(spark, sf), dictionary(spark, sf), "content")
 
@@ -600,6 +612,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "prefilter": prefilter_query,
     "prefilter_no_keywords": prefilter_no_keywords,
     "prefilter_lemma": prefilter_lemma,
+    "prefilter_many": prefilter_many,
     "lemmatize_text": lemmatize_text,
     "lemma_plugin": lemma_plugin,
     "lemmatize_keyword": lemmatize_keyword,

@@ -447,3 +447,9 @@ ORACLE["streaming_alerts"] = ORACLE["spike_alerts"]
 ORACLE["lemma_plugin"] = ORACLE["lemmatize_text"]
 ORACLE["streaming_bucket_ttl"] = ORACLE["bucket_ttl"]
 ORACLE["streaming_cluster_meta"] = ORACLE["ttl_sessions"]
+ORACLE["prefilter_many"] = _with("posts") + f"""
+    , terms AS (SELECT DISTINCT unnest({_words('lower(text)')}) AS word FROM benchmark)
+    SELECT post_id, "projectId", count(*)::INT AS keywords_found
+    FROM posts JOIN terms ON contains(lower(concat(title, ' ', content)), word)
+    WHERE NOT list_bool_or(list_transform(list_concat(exclusions, ['\x00']), lambda e: contains(lower(concat(title, ' ', content)), lower(e))))
+    GROUP BY 1, 2"""

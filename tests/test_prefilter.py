@@ -2,6 +2,7 @@ import random
 
 from mentionlake.operators.lemma import build_dictionary, lemmatize_terms, lemmatize_texts
 from mentionlake.operators.prefilter import prefilter
+from mentionlake.operators.terms import mark_terms
 from pyspark.sql import functions as F
 
 SCHEMA = "post_id string, title string, content string, keywords array<string>, exclusions array<string>"
@@ -75,3 +76,38 @@ def test_lemmatizers(spark):
     assert {r.term: r.lemma for r in lemmatize_terms(terms, dictionary).collect()} == {"ЛЮДИ": "человек", "люди дома": "люди дома"}
     built = build_dictionary(texts, F.col("text"), lambda t: t[:3])
     assert {r.token: r.lemma for r in built.collect()} == {"люди": "люд", "дома,": "дом", "дома": "дом"}
+
+
+def test_long_lists_like_the_plain_filter(spark):
+    rng = random.Random(8)
+    text = lambda n: "".join(rng.choice("abcД \t") for _ in range(n))
+    lists = [("p", [text(rng.randint(2, 4)) for _ in range(40)] + ["a  b", None], [text(6) for _ in range(30)]),
+             ("q", [], ["BA", "ba"]), ("r", None, None), (None, ["ab"], []), ("e", [""], [])]
+    rows = [(str(i), rng.choice(["p", "p", "q", "r", "e", None, "none"]), text(5), text(12)) for i in range(200)]
+    rows.append(("200", "p", None, "abc"))
+    rows.append(("201", "r", None, "abc"))
+    posts = spark.createDataFrame(rows, "post_id string, projectId string, title string, content string")
+    settings = spark.createDataFrame(lists, "projectId string, keywords array<string>, exclusions array<string>")
+    of = {p: ([k for k in ks or [] if k is not None], xs or []) for p, ks, xs in lists}
+    want = {}
+    for i, p, title, content in rows:
+        keywords, exclusions = of.get(p, ([], []))
+        if title is None:
+            want[i] = (0, 0, not keywords and not exclusions)
+            continue
+        low = f"{title} {content}".lower()
+        k = len({k.lower() for k in keywords if k.lower() in low or (any(c.isspace() for c in k) and k.lower() in " ".join(low.split()))})
+        x = len({e.lower() for e in exclusions if e.lower() in low})
+        want[i] = (k, x, (not keywords or k > 0) and x == 0)
+    for characters in (8_000_000, 60):
+        got = {r.post_id: (r.keywords_found, r.exclusions_found, r._pass) for r in mark_terms(posts, settings, characters=characters).collect()}
+        assert got == want
+    assert len({w[2] for w in want.values()}) == 2
+
+
+def test_long_lists_and_no_posts_or_terms(spark):
+    posts = spark.createDataFrame([("1", "p", "", "a")], "post_id string, projectId string, title string, content string")
+    settings = spark.createDataFrame([], "projectId string, keywords array<string>, exclusions array<string>")
+    assert [r._pass for r in mark_terms(posts, settings).collect()] == [True]
+    some = spark.createDataFrame([("p", ["a"], ["b"])], settings.schema)
+    assert mark_terms(posts.limit(0), some).count() == 0
