@@ -476,6 +476,17 @@ def brand_monitor(spark, sf):
     )
 
 
+def clustering_dead_letters(spark, sf):
+    """Posts of two sources come without an id; counted by project as clustering rejects them."""
+    p = posts(spark, sf)
+    lost = p.withColumn("post_id", F.when(~F.col("type").isin("src4", "src5"), F.col("post_id")))
+    stages = monitor(lost, PARAMS)
+    project = F.get_json_object("_raw", "$.projectId")
+    out = stages.dead.groupBy("_stage", "_error", project.alias("projectId")).agg(F.count("*").alias("n"))
+    kept = stages.scored.groupBy("projectId").agg(F.count("*").alias("n"))
+    return out.unionByName(kept.select(F.lit("kept").alias("_stage"), F.lit("").alias("_error"), "projectId", "n"))
+
+
 def results(spark, sf):
     nested = _stages(spark, sf).results
     return nested.select("clusterId", "projectId", F.inline("posts")).select(
@@ -644,6 +655,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "ttl_sessions": ttl_sessions,
     "tone": tone,
     "tone_scores": tone_scores,
+    "clustering_dead_letters": clustering_dead_letters,
     "results": results,
     "results_flat": results_flat,
     "results_display": results_display,

@@ -453,3 +453,7 @@ ORACLE["prefilter_many"] = _with("posts") + f"""
     FROM posts JOIN terms ON contains(lower(concat(title, ' ', content)), word)
     WHERE NOT list_bool_or(list_transform(list_concat(exclusions, ['\x00']), lambda e: contains(lower(concat(title, ' ', content)), lower(e))))
     GROUP BY 1, 2"""
+ORACLE["clustering_dead_letters"] = _with("passed_kept") + """
+    SELECT CASE WHEN type IN ('src4', 'src5') THEN 'clustering' ELSE 'kept' END AS _stage,
+           CASE WHEN type IN ('src4', 'src5') THEN 'post_id or qdrant_point_id is missing' ELSE '' END AS _error,
+           "projectId", count(*) AS n FROM passed_kept GROUP BY 1, 2, 3"""
