@@ -2,7 +2,7 @@ import random
 import re
 
 from mentionlake.llm.license_rules import rules
-from mentionlake.llm.licenses import PHRASES, licenses, matched, scanned
+from mentionlake.llm.licenses import PHRASES, licenses, matched, places, scanned
 from mentionlake.staging import stage
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -100,5 +100,32 @@ def test_names_without_the_short_one_and_second_mentions(spark):
         assert label in got[i], (i, got[i])
 
 
+def test_ordinary_words_are_no_licenses(spark):
+    mit = "Copyright 2020. All rights reserved. Permission is hereby granted, free of charge, to any person obtaining a copy"
+    cases = {
+        "under the artistic direction of a friend": "", "hidden under the ruby stone": "", "under proprietary control": "",
+        "the house is in the public domain of debate": "", mit: "mit", "the poet took some artistic license": "",
+        "released under the WTFPL": "wtfpl", "licensed under Ruby": "ruby", "this work is in the public domain": "public-domain",
+        "All rights reserved. " + "word " * 400 + "the MIT License": "mit,proprietary", "All rights reserved": "proprietary",
+        "All rights reserved. Redistribution and use in source and binary forms, with or without modification, are permitted": "bsd",
+    }
+    frame = spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string")
+    got = {r.doc_id: (r.labels, r.score) for r in licenses(frame).collect()}
+    assert {i: got[i][0] for i in got} == dict(enumerate(cases.values()))
+    assert got[10][1] < 0.5 < got[4][1]
+
+
+def test_places_in_long_texts_dense_with_keywords(spark):
+    """Every place of a keyword, wherever stretches of the text begin."""
+    text = "mit " * 3 + "x " * 59 + "python " * 500 + "y " * 40 + "under the MIT license " * 60
+    found = scanned(spark.createDataFrame([(1, text)], "doc_id long, text string"))
+    words = text.lower().split()
+    got = {(r["from"] + len(r.before.split()), r.keyword) for r in places(found).collect()}
+    assert got == {(i, w) for i, w in enumerate(words) if w in {k for _, _, k, _ in rules()}}
+    assert {r.start for r in matched(found).filter("label = 'mit'").collect()} >= {i for i, w in enumerate(words) if w == "under"}
+    sizes = found.selectExpr("aggregate(stretches, 0, (n, s) -> n + size(s.ws)) as n").first().n
+    assert sizes <= 2.5 * len(words)
+
+
 def test_no_rows(no_docs):
     assert licenses(no_docs).count() == 0
