@@ -9,14 +9,17 @@ geometric ladder. Every window of every document is
 fingerprinted for each size by prefix sums of the words' votes. Window and item
 fingerprints within a Hamming radius are found by a multi-index (Norouzi, Punjani,
 Fleet, CVPR 2012): of four 16-bit blocks, one differs by at most a quarter of the radius,
-so looking up all values near an item's block misses no fingerprint within the radius.
+so looking up all values near a window's block in that block's postings, lists of the item
+fingerprints with each value, misses no fingerprint within the radius; only items found
+there are compared with the window.
 A candidate is then verified exactly: the shingles of the item against those of the
 item-sized window of the document around it. Its similarity is the plain one or, if that
 is higher, the one with weights that fall with the number of different items that share a
 shingle; so near copies count as such in groups of similar items too.
 
 The benchmark is a query set against all documents. It is taken in blocks of bounded
-size, so a task never holds more than one block whatever the benchmark's size.
+number of items and words, so a task never holds more than one block whatever the
+benchmark's size; an item longer than that is a block of its own.
 
 Edge cases: a null or empty document leaks nothing; items without words are never found;
 an item of fewer than five words has its whole sequence as its only shingle; an item is a
@@ -46,6 +49,10 @@ SIMILARITY = 0.8
 RADIUS = 11
 # Items per pass over the documents
 BLOCK = 20_000
+# Words of the items of a block, about
+BLOCK_WORDS = 4_000_000
+# Windows looked up, and pairs of fingerprints compared, at a time
+WINDOWS, PAIRS = 4096, 1 << 20
 
 # ASCII signs and blanks separate words; every other byte belongs to one.
 SEPARATORS = np.zeros(256, bool)
@@ -171,6 +178,44 @@ def weighted(items: DataFrame) -> DataFrame:
     return items.join(weights, "item_key")
 
 
+class Postings:
+    """Which of some fingerprints share a near block with a window."""
+
+    def __init__(self, marks: np.ndarray, flips: np.ndarray):
+        self.flips = flips.astype(np.uint16)
+        self.lists, self.starts = [], []
+        self.near = np.zeros((4, 1 << 16), bool)
+        for b, block in enumerate(np.ascontiguousarray(marks)[:, None].view(np.uint16).T):
+            self.lists.append(np.argsort(block, kind="stable"))
+            self.starts.append(np.concatenate([[0], np.cumsum(np.bincount(block, minlength=1 << 16))]))
+            for f in self.flips:
+                self.near[b, block ^ f] = True
+
+    def any(self, blocks: np.ndarray) -> np.ndarray:
+        """Whether each row of four blocks is near any fingerprint's."""
+        hit = self.near[0][blocks[:, 0]]
+        for b in range(1, 4):
+            hit |= self.near[b][blocks[:, b]]
+        return hit
+
+    def pairs(self, blocks: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(row, fingerprint) that share a near block; those that share several come again."""
+        for b in range(4):
+            rows = np.flatnonzero(self.near[b][blocks[:, b]])
+            values = blocks[rows, b][:, None] ^ self.flips[None, :]
+            first, sizes = self.starts[b][values], self.starts[b][values.astype(np.int64) + 1]
+            sizes = (sizes - first).ravel()
+            held = np.flatnonzero(sizes)
+            first, sizes = first.ravel()[held], sizes[held]
+            # in runs of a bounded number of pairs, or one list
+            ends = np.cumsum(sizes)
+            cuts = np.unique(np.searchsorted(ends, np.arange(0, ends[-1] if len(ends) else 0, PAIRS)))
+            for lo, hi in zip(cuts, [*cuts[1:], len(held)]):
+                some = sizes[lo:hi]
+                inner = np.arange(some.sum()) - np.repeat(np.cumsum(some) - some, some)
+                yield rows[np.repeat(held[lo:hi] // len(self.flips), some)], self.lists[b][np.repeat(first[lo:hi], some) + inner]
+
+
 class Index:
     """Finds the items whose window appears in texts, for one block of items."""
 
@@ -181,22 +226,19 @@ class Index:
             flips += [(1 << a) | (1 << b) for a in range(16) for b in range(a)]
         if radius >= 12:
             raise ValueError("four blocks serve radii below 12")
+        flips = np.array(flips)
         self.shingles = np.unique(np.concatenate(items.shingles))
         # the fewest shingles that can reach the similarity, by their weights or their number
         self.need = np.array([
             min(np.searchsorted(np.cumsum(-np.sort(-w)), similarity * w.sum() - 1e-9) + 1, int(np.ceil(similarity * len(w) - 1e-9)))
             for w in items.weights
         ])
+        self.compared = 0  # pairs of fingerprints so far
         self.sizes = {}
         for size in np.unique(items.sizes).tolist():
             some = items.sizes == size
             own, marks, shifts = items.owners[some], items.prints[some], items.shifts[some]
-            near = np.zeros((4, 1 << 16), bool)
-            for b in range(4):
-                block = ((marks >> np.uint64(16 * b)) & np.uint64(0xFFFF)).astype(np.int64)
-                for f in flips:
-                    near[b, block ^ f] = True
-            self.sizes[size] = own, marks, shifts, near
+            self.sizes[size] = own, marks, shifts, Postings(marks, flips)
 
     def find(self, words: Words) -> list[tuple[int, int, int, float]]:
         """(text, item, first word, similarity): the best place of each item in each text."""
@@ -205,25 +247,25 @@ class Index:
         rows = words.rows
         # how many shingles up to each place belong to any item
         known = np.concatenate([[0], np.cumsum(np.isin(windows(words.hashes, SHINGLE), self.shingles))])
-        for size, (own, targets, shifts, near) in self.sizes.items():
+        for size, (own, targets, shifts, postings) in self.sizes.items():
             if len(rows) < size:
                 continue
             marks = prints(total, size)
             inside = np.arange(len(marks)) + size <= offsets[rows[: len(marks)] + 1]
             blocks = marks[:, None].view(np.uint16)
-            hit = near[0][blocks[:, 0]]
-            for b in range(1, 4):
-                hit |= near[b][blocks[:, b]]
-            hit = np.flatnonzero(hit & inside)
+            hit = np.flatnonzero(postings.any(blocks) & inside)
             # the fewest known shingles that any item of this size could do with, around the window
             around, last = int(self.items.lengths[own].max()), len(known) - 1
             near_known = known[np.minimum(hit + around, last)] - known[np.maximum(hit - around, 0)]
             hit = hit[near_known >= self.need[own][self.items.lengths[own] >= SHINGLE].min(initial=around)] if size >= SHINGLE else hit
-            step = max(1, min(4096, (1 << 23) // len(targets)))  # comparisons held at a time
-            for k in range(0, len(hit), step):
-                some = hit[k : k + step]
-                far = np.bitwise_count(marks[some][:, None] ^ targets[None, :])
-                at, which = np.nonzero(far <= self.radius)
+            for k in range(0, len(hit), WINDOWS):
+                some = hit[k : k + WINDOWS]
+                close = []
+                for at, which in postings.pairs(blocks[some]):
+                    self.compared += len(at)
+                    there = np.bitwise_count(marks[some[at]] ^ targets[which]) <= self.radius
+                    close.append(at[there] * len(targets) + which[there])
+                at, which = np.divmod(np.unique(np.concatenate(close)) if close else np.zeros(0, np.int64), len(targets))
                 starts = some[at] - shifts[which]
                 full = self._plausible(known, starts, own[which])
                 at, which = at[full], which[full]
@@ -260,10 +302,10 @@ class Index:
 
 
 def _blocks(items: DataFrame, size: int) -> Iterator[Items]:
-    """The items in blocks of at most ``size``, each collected on its own."""
+    """The items in blocks of about ``size`` and ``BLOCK_WORDS`` at most, each collected on its own."""
     keyed = stage(items, "items")
-    n = keyed.count()
-    parts = max(1, -(-n // size))
+    n, words = keyed.agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).first()
+    parts = max(1, -(-n // size), -(-words // BLOCK_WORDS))
     for part in range(parts):
         rows = keyed.filter(F.pmod(F.xxhash64("item_key"), F.lit(parts)) == part).collect()
         if rows:
