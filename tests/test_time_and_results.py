@@ -126,3 +126,12 @@ def test_tone(spark):
 
     modelled = with_model_tone(posts, load).collect()
     assert {(r.content, r.tone, r.tone_score) for r in modelled} == {("bad news", "negative", 0.15), (None, "neutral", None)}
+
+
+def test_health_stages_no_texts(spark, monkeypatch):
+    from mentionlake.plans import catalog
+
+    staged, whole = [], catalog.stage
+    monkeypatch.setattr(catalog, "stage", lambda df, name: staged.append(df.columns) or whole(df, name))
+    assert catalog.health_query(spark, "/root/testdata/sf0.001").count()
+    assert staged and all("content" not in columns for columns in staged)
