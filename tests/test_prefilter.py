@@ -111,3 +111,22 @@ def test_long_lists_and_no_posts_or_terms(spark):
     assert [r._pass for r in mark_terms(posts, settings).collect()] == [True]
     some = spark.createDataFrame([("p", ["a"], ["b"])], settings.schema)
     assert mark_terms(posts.limit(0), some).count() == 0
+
+
+def test_lemmas_of_texts_in_chunks(spark):
+    """Repeated keys, null keys and null texts, in one chunk or in many; no text is taken apart into rows."""
+    rng = random.Random(3)
+    lemma_of = {w: w[:1] + "й" for w in ("ab", "abc", "cab", "bb")} | {"ca": "a b", "cc": ""}
+    text = lambda: rng.choice([" ", " \n"]).join(rng.choice(["AB", "abc", "cab", "bb", "ca", "cc", "x", "я"]) for _ in range(rng.randint(0, 9)))
+    rows = [(str(i), text()) for i in range(120)] + [("7", text()), ("7", None), (None, text()), (None, text()), ("no", None)]
+    texts = spark.createDataFrame(rows, "post_id string, text string")
+    dictionary = spark.createDataFrame(list(lemma_of.items()), "token string, lemma string")
+    placed = {}
+    for key, content in rows:
+        placed.setdefault(key, []).extend((at, lemma_of.get(t, t)) for at, t in enumerate((content or "").lower().split()))
+    want = sorted((key or "", " ".join(lemma for _, lemma in sorted(at))) for key, at in placed.items())
+    for chunk_bytes in (16 << 20, 100):
+        lemmas = lemmatize_texts(texts, dictionary, chunk_bytes=chunk_bytes)
+        assert sorted((r.post_id or "", r.lemmas) for r in lemmas.collect()) == want
+        assert "Generate" not in lemmas._jdf.queryExecution().executedPlan().toString()
+    assert lemmatize_texts(texts.limit(0), dictionary).count() == 0
