@@ -1,7 +1,7 @@
 import random
 
-from mentionlake.operators.lemma import build_dictionary, lemmatize_terms, lemmatize_texts
-from mentionlake.operators.prefilter import prefilter
+from mentionlake.operators.lemma import build_dictionary, keyword_lists, lemmatize_terms, lemmatize_texts
+from mentionlake.operators.prefilter import mark, prefilter
 from mentionlake.operators.terms import mark_terms
 from pyspark.sql import functions as F
 
@@ -130,3 +130,22 @@ def test_lemmas_of_texts_in_chunks(spark):
         assert sorted((r.post_id or "", r.lemmas) for r in lemmas.collect()) == want
         assert "Generate" not in lemmas._jdf.queryExecution().executedPlan().toString()
     assert lemmatize_texts(texts.limit(0), dictionary).count() == 0
+
+
+def test_lemma_filter_in_chunks(spark):
+    """Posts carry no table of tokens that grows with the dictionary."""
+    rng = random.Random(4)
+    words = ["".join(rng.choice("abcd") for _ in range(4)) for _ in range(150)]
+    lemma_of = {w: w[:2] for w in words if w.endswith(("a", "b"))}
+    rows = [("", " ".join(rng.choice(words) for _ in range(rng.randint(0, 6))), keywords, exclusions)
+            for _ in range(150) for keywords, exclusions in [([rng.choice(words), "c a"], [rng.choice(words)]), (["dd ", "cc a"], [])]]
+    entries = spark.createDataFrame(list(lemma_of.items()), "token string, lemma string")
+    posts = spark.createDataFrame([(str(i), *r) for i, r in enumerate([*rows, (None, "a", ["a"], []), ("a", "b", [None, "A"], None)])], SCHEMA)
+    want = {i for i, r in enumerate(rows) if plain(*r, lemma_of)} | {len(rows) + 1}
+    assert 0 < len(want) < len(rows)
+    for chunk_bytes in (16 << 20, 300):
+        marked = mark(posts, entries, chunk_bytes)
+        assert marked.columns == [*posts.columns, "_pass"] and marked.count() == posts.count()
+        assert {int(r.post_id) for r in marked.filter("_pass").collect()} == want
+        assert "map<" not in marked._jdf.queryExecution().executedPlan().toString()
+    assert [table.columns for table in keyword_lists(posts, entries)] == [["keywords", "patterns"], ["keyword", "token", "lemma"]]
