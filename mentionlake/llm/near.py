@@ -31,6 +31,7 @@ Columns other than doc_id and text are never read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -51,6 +52,8 @@ _SHIFT = 26
 # A pair stays if the wanted similarity is at most e^12 times less likely than the best.
 SLACK = 12.0
 BLOCK = 1024
+# Pairs of members looked at together
+PAIRS = 1 << 16
 
 
 def band_rows(percent: int) -> int:
@@ -153,6 +156,29 @@ def plausible(more: np.ndarray, less: np.ndarray, na: np.ndarray, nb: np.ndarray
     return (100 * np.minimum(na, nb) >= percent * np.maximum(na, nb)) & (near >= far - SLACK)
 
 
+@lru_cache(maxsize=4)
+def least_equal(percent: int) -> int:
+    """Fewer equal registers than this make no pair plausible, whatever its sizes.
+
+    The fewest over all numbers of larger and smaller registers, at size ratios up to the
+    widest that counts, where they are fewest; less some for the ratios between.
+    """
+    more, less = (x.ravel() for x in np.indices((REGISTERS + 1, REGISTERS + 1)))
+    more, less = more[some := more + less <= REGISTERS], less[some]
+    fewest = REGISTERS
+    for ratio in np.linspace(percent / 100, 1, 9):
+        good = plausible(more, less, np.full(len(more), 1e6), np.full(len(more), np.ceil(1e6 * ratio)), percent)
+        fewest = min(fewest, int((REGISTERS - more - less)[good].min(initial=REGISTERS)))
+    return max(0, fewest - 6)
+
+
+def _equal(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The number of equal registers of each two rows, eight added at a time."""
+    eights = (a == b).view(np.uint64).sum(1)
+    with np.errstate(over="ignore"):
+        return ((eights * np.uint64(0x0101010101010101)) >> np.uint64(56)).astype(np.int64)
+
+
 def _matrix(column: pa.Array, width: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, width)
 
@@ -187,37 +213,74 @@ def _verified(pairs: DataFrame, percent: int) -> DataFrame:
     return pairs.mapInArrow(run, "a long, b long")
 
 
-def _apart(block: pa.Table, percent: int) -> list[tuple[int, int]]:
-    """Plausible pairs of a block whose ends are in different components, each in the first
-    band that it shares. A block holds one or two parts of a bucket; pairs of one part
-    are found in the block of that part alone."""
-    names, groups = block.column("class").to_numpy(), block.column("component").to_numpy()
-    sizes, parts = block.column("n").to_numpy().astype(float), block.column("part").to_numpy()
-    marks = _matrix(block.column("sketch").combine_chunks(), REGISTERS)
-    band = block.column("band")[0].as_py()
-    i, j = block.column("i")[0].as_py(), block.column("j")[0].as_py()
-    left, right = np.flatnonzero(parts == i), np.flatnonzero(parts == j)
-    found, rows = [], band_rows(percent)
-    for start in range(0, len(left), 32):
-        some = left[start : start + 32]
-        x, y = np.repeat(some, len(right)), np.tile(right, len(some))
-        keep = groups[x] != groups[y]
-        if i == j:
-            keep &= names[x] < names[y]
+def _apart(blocks: pa.Table, percent: int) -> list[tuple[int, int]]:
+    """Plausible pairs of rows of one block whose ends are in different components, each in the
+    first band that it shares. ``blocks`` has whole blocks, the rows of each one together. A
+    block holds one or two parts of a bucket; pairs of one part are found in the block of that
+    part alone."""
+    names, groups = blocks.column("class").to_numpy(), blocks.column("component").to_numpy()
+    sizes, parts, band = blocks.column("n").to_numpy().astype(float), blocks.column("part").to_numpy(), blocks.column("band").to_numpy()
+    marks = _matrix(blocks.column("sketch").combine_chunks(), REGISTERS)
+    alone = blocks.column("i").to_numpy() == blocks.column("j").to_numpy()
+    later = _block_ends(blocks) - np.arange(len(names)) - 1  # rows of its block behind each row
+    upto = np.concatenate([[0], np.cumsum(later)])
+    found, rows, enough = [], band_rows(percent), least_equal(percent)
+    start = 0
+    while start < len(names):
+        end = max(start + 1, int(np.searchsorted(upto, upto[start] + PAIRS, "right")) - 1)
+        x = np.repeat(np.arange(start, end), later[start:end])
+        y = x + 1 + np.arange(len(x)) - (upto[x] - upto[start])
+        # what a look at sizes or a count of equal registers rules out is most of a large bucket
+        keep = (groups[x] != groups[y]) & (names[x] != names[y]) & (alone[x] | (parts[x] != parts[y]))
+        keep &= 100 * np.minimum(sizes[x], sizes[y]) >= percent * np.maximum(sizes[x], sizes[y])
         x, y = x[keep], y[keep]
+        near = _equal(marks[x], marks[y]) >= enough
+        x, y = x[near], y[near]
+        turn = np.where(alone[x], names[x] > names[y], parts[x] > parts[y])
+        x, y = np.where(turn, y, x), np.where(turn, x, y)
         good = plausible((marks[x] > marks[y]).sum(1), (marks[x] < marks[y]).sum(1), sizes[x], sizes[y], percent)
         x, y = x[good], y[good]
         first = (marks[x] == marks[y]).reshape(-1, REGISTERS // rows, rows).all(2).argmax(1)
-        found += zip(x[first == band].tolist(), y[first == band].tolist())
+        found += zip(x[first == band[x]].tolist(), y[first == band[x]].tolist())
+        start = end
     return found
 
 
+def _block_ends(blocks: pa.Table) -> np.ndarray:
+    """For each row the end of its block, a run of equal key, i and j."""
+    n = blocks.num_rows
+    change = np.zeros(n - 1, bool) if n else np.zeros(0, bool)
+    for column in ("key", "i", "j"):
+        value = blocks.column(column).to_numpy()
+        change |= value[1:] != value[:-1]
+    ends = np.append(np.flatnonzero(change) + 1, n)
+    return np.repeat(ends, np.diff(ends, prepend=0)) if n else np.zeros(0, np.int64)
+
+
 def _members_apart(blocks: DataFrame, percent: int) -> DataFrame:
-    def run(block: pa.Table) -> pa.Table:
-        index = sorted({i for pair in _apart(block, percent) for i in pair})
-        return block.take(pa.array(index, pa.int64())).select(["key", "band", "i", "j", "part", "class"])
+    """The members with a partner in ``_apart``. Most buckets have a few members only, so blocks
+    come one behind another, many in a batch, and not each as a group of its own."""
+
+    def members(whole: pa.Table) -> list[pa.RecordBatch]:
+        index = sorted({i for pair in _apart(whole, percent) for i in pair})
+        return whole.take(pa.array(index, pa.int64())).select(["key", "band", "i", "j", "part", "class"]).to_batches()
 
-    return blocks.groupBy("key", "i", "j").applyInArrow(run, "key long, band int, i int, j int, part int, class long")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([*held, batch]).combine_chunks()
+            ends = _block_ends(table)
+            last = int(ends[ends < table.num_rows].max(initial=0))  # the last block may go on in the next batch
+            yield from members(table.slice(0, last))
+            held = table.slice(last).to_batches()
+        if held:
+            yield from members(pa.Table.from_batches(held))
+
+    order = ["key", "i", "j"]
+    dealt = blocks.repartition(*order).sortWithinPartitions(*order)
+    return dealt.mapInArrow(run, "key long, band int, i int, j int, part int, class long")
 
 
 def _joining_links(blocks: DataFrame, percent: int) -> DataFrame:

@@ -3,6 +3,8 @@ import re
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
+import pytest
 
 from mentionlake.llm import near
 from mentionlake.llm.components import components
@@ -126,3 +128,64 @@ def test_wanted_pairs_stay_plausible():
     outcomes = draw.multinomial(REGISTERS, [0.08, 0.08, 0.84], 5000)  # registers of pairs at 0.85
     assert plausible(outcomes[:, 0], outcomes[:, 1], n, n).all()
     assert not plausible(np.array([40]), np.array([40]), n[:1], n[:1]).any()
+
+
+@pytest.mark.parametrize("percent", [80, 85])
+def test_pairs_without_enough_equal_registers_are_never_plausible(percent):
+    rng = np.random.default_rng(percent)
+    more = rng.integers(0, near.REGISTERS + 1, 200_000)
+    less = (rng.random(len(more)) ** 3 * (near.REGISTERS + 1 - more)).astype(int)
+    n_b = rng.integers(1, 3000, len(more)).astype(float)
+    n_a = np.ceil(n_b * (percent / 100 + rng.random(len(more)) ** 2 * (1 - percent / 100) * 1.5))
+    for one, two in ((more, less), (less, more)):
+        good = near.plausible(one, two, n_a, n_b, percent)
+        assert good.any() and (near.REGISTERS - one - two)[good].min() >= near.least_equal(percent) > 40
+
+
+@pytest.mark.parametrize("parts", [1, 2])
+def test_members_of_a_bucket_are_weighed_only_if_their_registers_agree(monkeypatch, parts):
+    rng = np.random.default_rng(7)
+    n, band = 300, 2
+    marks = rng.integers(0, 60, (20, near.REGISTERS)).astype(np.uint8)[rng.integers(0, 20, n)]
+    other = rng.random((n, near.REGISTERS)) < rng.random((n, 1)) * 0.6
+    marks[other] = rng.integers(0, 60, other.sum())
+    sizes, names, groups, part = rng.integers(50, 200, n), rng.permutation(n), rng.integers(0, 90, n), rng.integers(0, parts, n)
+    block = pa.table({
+        "class": names, "component": groups, "n": sizes, "part": part, "band": [band] * n, "i": [0] * n, "j": [parts - 1] * n, "key": [5] * n,
+        "sketch": pa.array([m.tobytes() for m in marks], pa.binary()),
+    })
+    width, want = near.band_rows(80), []
+    for x in np.flatnonzero(part == 0):
+        for y in np.flatnonzero(part == parts - 1):
+            if groups[x] == groups[y] or parts == 1 and names[x] >= names[y]:
+                continue
+            more, less = np.array([(marks[x] > marks[y]).sum()]), np.array([(marks[x] < marks[y]).sum()])
+            if near.plausible(more, less, sizes[[x]].astype(float), sizes[[y]].astype(float), 80)[0]:
+                if (marks[x] == marks[y]).reshape(-1, width).all(1).argmax() == band:
+                    want.append((x, y))
+    weighed, plain = [], near.plausible
+    near.least_equal(80)
+    monkeypatch.setattr(near, "plausible", lambda more, *rest: weighed.append(len(more)) or plain(more, *rest))
+    assert sorted(near._apart(block, 80)) == sorted(want) and want
+    assert sum(weighed) < n * n / 40
+    # blocks one behind another are those blocks
+    thrice = pa.concat_tables([block.set_column(block.schema.get_field_index("key"), "key", pa.array([k] * n)) for k in range(3)])
+    assert sorted(near._apart(thrice, 80)) == sorted((x + k * n, y + k * n) for k in range(3) for x, y in want)
+
+
+def test_small_buckets_are_no_groups_of_their_own(spark):
+    """5,000 buckets of two members, in one task and few batches, also where a batch ends inside a bucket."""
+    rng = np.random.default_rng(3)
+    marks = rng.integers(0, 60, (5000, REGISTERS)).astype(np.uint8)
+    rows = [(k, 0, 0, 0, 0, 2 * k + e, 2 * k + e, 100, bytearray(marks[k].tobytes())) for k in range(5000) for e in (0, 1)]
+    shape = "key long, band int, i int, j int, part int, class long, component long, n long, sketch binary"
+    blocks = spark.createDataFrame(rows, shape)
+    found = near._members_apart(blocks, 80)
+    assert "FlatMapGroups" not in found._jdf.queryExecution().executedPlan().toString()
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = sorted(r["class"] for r in near._members_apart(blocks, 80).collect())
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert got == list(range(10_000)) == sorted(r["class"] for r in found.collect())
